@@ -52,12 +52,31 @@ def p6_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _groups(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    from corvane.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, name), key, "job_text", width=3, similarity=0.5, least_words=25)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every counted posting and description with its group and number of links."""
+    parts = [_groups(spark, sf_dir, n, k).select(F.lit(n).alias("table_name"), "*") for n, k in (("demands", "id"), ("jd_cleaned", "jd_id"))]
+    return parts[0].unionByName(parts[1])
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of ids of a group, as TESTDATA.md asks for them; the two tables are kept apart."""
+    g = written(p1_groups(spark, sf_dir).select("table_name", "group_id", "id"), "groups")
+    a, b = g.withColumnRenamed("id", "id_a"), g.withColumnRenamed("id", "id_b")
+    return a.join(b, ["table_name", "group_id"]).where("id_a < id_b").select("id_a", "id_b")
+
+
 #: Further modules of this subpackage with QUERIES and SQL.
 MODULES: list[str] = ["mapping_queries"]
 
 
 def queries() -> dict:
-    out = {"p2_found": p2_found, "p2_pair_measures": p2_pair_measures, "p6_found": p6_found, "p6_item_report": p6_item_report}
+    out = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pair_measures": p2_pair_measures, "p6_found": p6_found, "p6_item_report": p6_item_report}
     for m in MODULES:
         out |= import_module(f"corvane.llm.{m}").QUERIES
     return out

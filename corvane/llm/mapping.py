@@ -20,6 +20,8 @@ import unicodedata
 
 from pyspark.sql import DataFrame
 
+from corvane.session import written
+
 # Cyrillic and Greek letters that look like Latin ones.
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h",
@@ -87,99 +89,96 @@ def _spelled(x: str) -> str:
     return x
 
 
-def mapping_sql(domain: str, values: str, reference: str) -> str:
-    """SQL of the mapping (v, ref_id, edits) of the values of a domain that a reference entry was meant by.
-
-    values: relation with a column v (different, not blank, exact names taken out); reference: relation
-    with ref_id and name (names and aliases, lower case). Values that match nothing are absent.
-    """
+def _forms_sql(domain: str, values: str) -> str:
+    """Readings of the typed values of a domain: as typed, without accompanying words, without a tail, spelled out."""
     head = r"' - | – | / |, '" if domain == "city" else r"' - | – '"
-    variants = [
-        ("1", _stripped("n", domain)),
-        ("1", _stripped(f"split(n, {head})[0]", domain)),
-        ("2", "n"),
-    ]
+    short = f"split(n, {head})[0]"
+    variants = [("1", _stripped("n", domain)), ("1", _stripped(short, domain)), ("2", "n")]
     if domain == "title":
-        variants.append(("2", _spelled(_stripped("n", domain))))
-        variants.append(("2", _spelled(_stripped(f"split(n, {head})[0]", domain))))
+        variants += [("2", _spelled(_stripped("n", domain))), ("2", _spelled(_stripped(short, domain)))]
     made = ", ".join(f"named_struct('rank', {r}, 'x', {x})" for r, x in variants)
     return f"""
-WITH ref AS (
-  SELECT DISTINCT ref_id, name, {_squeezed('name')} AS s, {_edits(f"length({_squeezed('name')})")} AS k,
-         array_join({_words('name')}, ' ') AS w, {_initials('name')} AS ini
-  FROM (SELECT ref_id, translate(lower(trim(name)), {_quoted(LOOKALIKE_FROM)}, {_quoted(LOOKALIKE_TO)}) AS name FROM {reference} WHERE name IS NOT NULL AND trim(name) <> '')
-),
-cleaned AS (SELECT v, {_clean(domain)} AS n FROM {values}),
-forms AS (
-  SELECT v, min(f.rank) AS rank, f.x, {_squeezed('f.x')} AS s
-  FROM (SELECT v, explode(array({made})) AS f FROM cleaned) WHERE f.x <> '' GROUP BY v, f.x
-),
-pieces AS (
-  SELECT ref_id, s, k, i, substring(s, p, q) AS part, p, length(s) AS len
+SELECT '{domain}' AS domain, v, min(f.rank) AS rank, f.x, {_squeezed('f.x')} AS s
+FROM (SELECT v, explode(array({made})) AS f FROM (SELECT v, {_clean(domain)} AS n FROM {values} WHERE domain = '{domain}'))
+WHERE f.x <> '' GROUP BY v, f.x"""
+
+
+REFERENCE_SQL = f"""
+SELECT DISTINCT domain, ref_id, name, {_squeezed('name')} AS s, {_edits(f"length({_squeezed('name')})")} AS k,
+       array_join({_words('name')}, ' ') AS w, {_initials('name')} AS ini
+FROM (SELECT domain, ref_id, translate(lower(trim(name)), {_quoted(LOOKALIKE_FROM)}, {_quoted(LOOKALIKE_TO)}) AS name FROM {{reference}} WHERE name IS NOT NULL AND trim(name) <> '')
+"""
+
+NEAR_SQL = f"""
+WITH pieces AS (
+  SELECT domain, ref_id, s, k, i, p, length(s) AS len, substring(s, p, q) AS part, q
   FROM (
-    SELECT ref_id, s, k, i, CAST(floor(i * length(s) / (k + 1)) AS INT) + 1 AS p,
+    SELECT domain, ref_id, s, k, i, CAST(floor(i * length(s) / (k + 1)) AS INT) + 1 AS p,
            CAST(floor((i + 1) * length(s) / (k + 1)) AS INT) - CAST(floor(i * length(s) / (k + 1)) AS INT) AS q
-    FROM ref LATERAL VIEW explode(sequence(0, k)) e AS i
+    FROM {{ref}} LATERAL VIEW explode(sequence(0, k)) e AS i
   )
 ),
-shapes AS (SELECT DISTINCT len, k, i, p, length(part) AS q FROM pieces),
-lengths AS (SELECT DISTINCT length(s) AS n FROM forms),
+shapes AS (SELECT DISTINCT domain, len, k, i, p, q FROM pieces),
 probes AS (
-  SELECT DISTINCT l.n, h.len, h.i, h.q, greatest(1, h.p - h.k) AS lo, least(l.n - h.q + 1, h.p + h.k) AS hi
-  FROM lengths l JOIN shapes h ON h.len BETWEEN l.n - {MOST_EDITS} AND l.n + {MOST_EDITS} AND abs(l.n - h.len) <= h.k
+  SELECT domain, len, i, q, n, greatest(1, p - k) AS lo, least(n - q + 1, p + k) AS hi
+  FROM shapes LATERAL VIEW explode(sequence(greatest(1, len - k), len + k)) e AS n
 ),
+typed AS (SELECT DISTINCT domain, s, length(s) AS n FROM {{forms}}),
 grams AS (
-  SELECT DISTINCT f.s, b.len, b.i, substring(f.s, at, b.q) AS part
-  FROM (SELECT DISTINCT s FROM forms) f JOIN probes b ON length(f.s) = b.n
+  SELECT DISTINCT f.domain, f.s, b.len, b.i, substring(f.s, at, b.q) AS part
+  FROM typed f JOIN probes b ON f.domain = b.domain AND f.n = b.n
   LATERAL VIEW explode(CASE WHEN b.hi >= b.lo THEN sequence(b.lo, b.hi) ELSE array() END) e AS at
-),
-near AS (
-  SELECT s, ref_id, min(d) AS d FROM (
-    SELECT c.s, c.ref_id, c.k, levenshtein(c.s, c.r, c.k) AS d
-    FROM (SELECT DISTINCT g.s, p.ref_id, p.s AS r, p.k FROM grams g JOIN pieces p ON g.len = p.len AND g.i = p.i AND g.part = p.part) c
-  ) WHERE d >= 0 AND d <= k GROUP BY s, ref_id
-),
-turned AS (SELECT f.v, r.ref_id, f.rank, 0.5 AS d FROM (SELECT *, array_join({_words('x')}, ' ') AS w FROM forms) f JOIN ref r ON f.w = r.w),
-cut AS (
-  SELECT f.v, r.ref_id, f.rank, 0.75 AS d
-  FROM (SELECT *, {_initials('x')} AS ini FROM forms WHERE x RLIKE '[a-z0-9]\\\\.( |$)') f
-  JOIN ref r ON f.ini = r.ini AND r.name LIKE regexp_replace(f.x, '([a-z0-9])\\\\.(?= |$)', '$1%')
-),
-scored AS (
-  SELECT f.v, n.ref_id, f.rank, CAST(n.d AS DOUBLE) AS d FROM forms f JOIN near n ON f.s = n.s
-  UNION ALL SELECT v, ref_id, rank, CAST(d AS DOUBLE) FROM turned
-  UNION ALL SELECT v, ref_id, rank, CAST(d AS DOUBLE) FROM cut
 )
-SELECT v, b.ref_id, b.d AS edits FROM (SELECT v, min(named_struct('d', d, 'rank', rank, 'ref_id', ref_id)) AS b FROM scored GROUP BY v)
+SELECT domain, s, ref_id, min(d) AS d FROM (
+  SELECT c.domain, c.s, c.ref_id, c.k, levenshtein(c.s, c.r, c.k) AS d
+  FROM (
+    SELECT DISTINCT g.domain, g.s, p.ref_id, p.s AS r, p.k
+    FROM grams g JOIN pieces p ON g.domain = p.domain AND g.len = p.len AND g.i = p.i AND g.part = p.part
+  ) c
+) WHERE d >= 0 AND d <= k GROUP BY domain, s, ref_id
 """
 
+CHOICE_SQL = f"""
+WITH scored AS (
+  SELECT f.domain, f.v, n.ref_id, f.rank, CAST(n.d AS DOUBLE) AS d FROM {{forms}} f JOIN {{near}} n ON f.domain = n.domain AND f.s = n.s
+  UNION ALL
+  SELECT f.domain, f.v, r.ref_id, f.rank, 0.5D FROM (SELECT *, array_join({_words('x')}, ' ') AS w FROM {{forms}}) f JOIN {{ref}} r ON f.domain = r.domain AND f.w = r.w
+  UNION ALL
+  SELECT f.domain, f.v, r.ref_id, f.rank, 0.75D
+  FROM (SELECT *, {_initials('x')} AS ini FROM {{forms}} WHERE x RLIKE '[a-z0-9]\\\\.( |$)') f
+  JOIN {{ref}} r ON f.domain = r.domain AND f.ini = r.ini AND r.name LIKE regexp_replace(f.x, '([a-z0-9])\\\\.(?= |$)', '$1%')
+)
+SELECT domain, v, b.ref_id, b.d AS edits
+FROM (SELECT domain, v, min(named_struct('d', d, 'rank', rank, 'ref_id', ref_id)) AS b FROM scored GROUP BY domain, v)
+"""
 
-def map_values(values: DataFrame, references: dict[str, DataFrame]) -> DataFrame:
+ROWS_SQL = """
+SELECT a.* FROM (SELECT *, regexp_replace(lower(item), '(?U)^\\\\s+|\\\\s+$', '') AS v FROM {values}) a
+LEFT ANTI JOIN (SELECT domain, lower(trim(name)) AS name FROM {reference} WHERE NOT alias) r ON a.domain = r.domain AND a.v = r.name
+WHERE a.v <> ''
+"""
+
+
+def map_values(values: DataFrame, reference: DataFrame) -> DataFrame:
     """Mapping of typed values to reference entries.
 
     values: rows with domain ('skill', 'title' or 'city') and item; further columns pass through.
-    references: domain -> DataFrame (ref_id int, name string, alias boolean).
+    reference: domain, ref_id int, name string, alias boolean.
     Rows whose item, trimmed and in any casing, is itself a name are left out (aliases are mapped);
     so are null and blank items. Every other row comes out with ref_id, 0 where nothing was meant.
-    Repeated rows stay; an empty table gives an empty result. The table is written once, because it
-    is read for its different values and again for the rows.
+    Repeated rows stay; an empty table gives an empty result; of equally near entries the smallest
+    ref_id wins. What is read more than once is written once: the rows, and the small tables of
+    different values.
     """
-    from corvane.session import written
-
     spark = values.sparkSession
-    out = None
-    for domain, reference in references.items():
-        rows = spark.sql(
-            "SELECT a.* FROM (SELECT *, regexp_replace(lower(item), '(?U)^\\\\s+|\\\\s+$', '') AS v FROM {values} WHERE domain = '" + domain + "') a "
-            "LEFT ANTI JOIN (SELECT lower(trim(name)) AS name FROM {reference} WHERE NOT alias) r ON a.v = r.name WHERE a.v <> ''",
-            values=values, reference=reference,
-        )
-        rows = written(rows, f"typed-{domain}")
-        typed = spark.sql("SELECT DISTINCT v FROM {rows}", rows=rows)
-        mapped = written(spark.sql(mapping_sql(domain, "{typed}", "{reference}"), typed=typed, reference=reference), f"mapped-{domain}")
-        part = spark.sql(
-            "SELECT r.*, m.ref_id FROM {rows} r JOIN {mapped} m ON r.v = m.v UNION ALL SELECT r.*, 0 FROM {rows} r LEFT ANTI JOIN {mapped} m ON r.v = m.v",
-            rows=rows, mapped=mapped,
-        ).drop("v")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = written(spark.sql(ROWS_SQL, values=values, reference=reference), "typed")
+    typed = written(spark.sql("SELECT DISTINCT domain, v FROM {rows}", rows=rows), "values")
+    ref = written(spark.sql(REFERENCE_SQL, reference=reference), "reference")
+    forms = written(spark.sql(" UNION ALL ".join(_forms_sql(d, "{typed}") for d in BEFORE), typed=typed), "forms")
+    near = written(spark.sql(NEAR_SQL, ref=ref, forms=forms), "near")
+    mapped = written(spark.sql(CHOICE_SQL, ref=ref, forms=forms, near=near), "mapped")
+    return spark.sql(
+        "SELECT r.*, m.ref_id FROM {rows} r JOIN (SELECT domain, v, ref_id FROM {mapped} UNION ALL "
+        "SELECT t.domain, t.v, 0 FROM {typed} t LEFT ANTI JOIN {mapped} x ON t.domain = x.domain AND t.v = x.v) m ON r.domain = m.domain AND r.v = m.v",
+        rows=rows, mapped=mapped, typed=typed,
+    ).drop("v")

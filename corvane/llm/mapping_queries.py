@@ -11,20 +11,17 @@ from corvane.plans import packed_queries as packed
 from corvane.sources.tables import one_per_key, table
 
 
-def references(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    skill = table(spark, sf_dir, "skill_reference")
-    title = table(spark, sf_dir, "title_reference")
-    city = table(spark, sf_dir, "city_reference")
-    name = lambda t, i, n: t.select(F.col(i).alias("ref_id"), F.col(n).alias("name"), F.lit(False).alias("alias"))
-    return {
-        "skill": name(skill, "skill_id", "skill_name").unionByName(
-            skill.select(F.col("skill_id").alias("ref_id"), F.explode(F.split("aliases", r"\|")).alias("name"), F.lit(True).alias("alias"))
-        ),
-        "title": name(title, "title_id", "title_name"),
-        "city": name(city, "city_id", "city_name").unionByName(
-            city.where("other_name IS NOT NULL").select(F.col("city_id").alias("ref_id"), F.col("other_name").alias("name"), F.lit(True).alias("alias"))
-        ),
-    }
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(domain, ref_id, name, alias) of the three reference lists."""
+    names = [("skill", "skill_reference", "skill_id", "skill_name", F.split("aliases", r"\|")), ("title", "title_reference", "title_id", "title_name", None), ("city", "city_reference", "city_id", "city_name", F.array("other_name"))]
+    out = None
+    for domain, name, key, column, aliases in names:
+        t = table(spark, sf_dir, name)
+        own = F.array(F.struct(F.col(column).alias("name"), F.lit(False).alias("alias")))
+        all_ = own if aliases is None else F.concat(own, F.coalesce(F.transform(aliases, lambda x: F.struct(x.alias("name"), F.lit(True).alias("alias"))), F.array()))
+        part = t.select(F.lit(domain).alias("domain"), F.col(key).alias("ref_id"), F.explode(all_).alias("n")).select("domain", "ref_id", "n.name", "n.alias")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,13 +37,11 @@ def typed(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("city").alias("domain"), F.lit("city").alias("field_name"), F.col("city").alias("item")),
         )).alias("x")).select("x.domain", "record_id", "x.field_name", F.lit(1).alias("pos"), "x.item").where("item IS NOT NULL")
         single = t if single is None else single.unionByName(t)
-    return skills, single
+    return skills.unionByName(single)
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    skills, single = typed(spark, sf_dir)
-    refs = references(spark, sf_dir)
-    return map_values(skills, {"skill": refs["skill"]}).unionByName(map_values(single, {"title": refs["title"], "city": refs["city"]}))
+    return map_values(typed(spark, sf_dir), references(spark, sf_dir))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
