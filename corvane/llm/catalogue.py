@@ -52,6 +52,61 @@ def p6_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five chunks most similar to every chunk."""
+    from corvane.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "chunk_vectors"), "chunk_id", "embedding", 128, 5).select(
+        F.col("id").alias("chunk_id"), "rank", F.col("near_id").alias("near_chunk_id"), F.round("similarity", 3).alias("similarity")
+    )
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = p3_neighbours(spark, sf_dir)
+    return near.select(F.least("chunk_id", "near_chunk_id").alias("chunk_id_a"), F.greatest("chunk_id", "near_chunk_id").alias("chunk_id_b")).distinct()
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its score for abusive, hateful or sexual text and the kind of its worst passage."""
+    from corvane.llm.abuse import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), keep=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corvane.llm.abuse import THRESHOLD
+
+    return p8_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id")
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, cases and rate of cases per source (null: no source)."""
+    from corvane.llm.abuse import THRESHOLD
+
+    case = F.col("score") >= THRESHOLD
+    return (
+        p8_scores(spark, sf_dir)
+        .groupBy("source")
+        .agg(F.count(F.lit(1)).alias("documents"), F.count_if(case).alias("cases"), F.round(F.avg(case.cast("double")), 6).alias("rate"))
+    )
+
+
+def _mixture(spark: SparkSession, sf_dir: str):
+    from corvane.llm.mixture import mixture
+
+    return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts in training order."""
+    return _mixture(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every target source."""
+    return _mixture(spark, sf_dir)[1]
+
+
 def _groups(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     from corvane.llm.neardup import near_duplicates
 
@@ -76,7 +131,7 @@ MODULES: list[str] = ["mapping_queries"]
 
 
 def queries() -> dict:
-    out = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pair_measures": p2_pair_measures, "p6_found": p6_found, "p6_item_report": p6_item_report}
+    out = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_pair_measures": p2_pair_measures, "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_scores": p8_scores, "p8_found": p8_found, "p8_source_rates": p8_source_rates, "p6_found": p6_found, "p6_item_report": p6_item_report}
     for m in MODULES:
         out |= import_module(f"corvane.llm.{m}").QUERIES
     return out
