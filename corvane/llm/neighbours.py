@@ -209,10 +209,11 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataF
     Further columns are ignored.
     """
     spark = df.sparkSession
-    own = Window.partitionBy("vec").orderBy("id")
-    rows = written(unit_vectors(df, key, vector, dim).withColumn("m", F.row_number().over(own)).withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    copies = rows.where("m = 2").limit(1).count() > 0
-    points = rows.where("m = 1").select("rid", "vec")
+    rows = written(unit_vectors(df, key, vector, dim).withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    copies = rows.select(F.xxhash64("vec").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    if copies:
+        rows = written(rows.withColumn("m", F.row_number().over(Window.partitionBy("vec").orderBy("id"))), "vectors")
+    points = (rows.where("m = 1") if copies else rows).select("rid", "vec")
     total = points.count()
     sample = points.select("vec").sample(min(1.0, 1.2 * SAMPLE / max(1, total)), 3).limit(SAMPLE).collect()
     forest = Forest(_halves(pa.array([bytes(r.vec) for r in sample], pa.binary())), total, FIRST + MORE)
@@ -228,8 +229,10 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataF
     found = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select("rid", F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))
     if not copies:
         names = rows.select("rid", "id")
-        out = found.join(names, "rid").join(names.select(F.col("rid").alias("near"), F.col("id").alias("near_id")), "near")
-        return out.select("id", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "near_id")).alias("rank"), "near_id", "similarity")
+        out = found.join(names.select(F.col("rid").alias("near"), F.col("id").alias("near_id")), "near").drop("near")
+        # ranked by rid, so that the last join finds its rows where they are
+        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("similarity"), "near_id")))
+        return out.join(names, "rid").select("id", "rank", "near_id", "similarity")
     # equal vectors: every point stands for its k + 1 smallest ids, copies find each other first
     heads = rows.groupBy("vec").agg(F.min(F.when(F.col("m") == 1, F.col("rid"))).alias("rep"))
     member = rows.join(heads, "vec").select("id", "m", "rep")
