@@ -82,7 +82,8 @@ Q_FUSED = f"""{Q_LEGS}, fused0 AS (
   FROM (SELECT *, 'bm25' AS leg FROM bm UNION ALL SELECT *, 'semantic' FROM se) GROUP BY query_id, chunk_id),
 fused AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, sources DESC, best_rank, chunk_id) AS INT) AS fused_rank FROM fused0 QUALIFY fused_rank <= {V.DEPTH})"""
 _ORDERED = sorted(V.QUERY_SKILLS, key=lambda s: (-len(s), s))
-_ROLE = "CASE " + " ".join(f"WHEN regexp_extract(q, '([a-z ]+\\b{w})', 1) <> '' THEN array_to_string(list_slice(list_filter(string_split(regexp_extract(q, '([a-z ]+\\b{w})', 1), ' '), lambda w: w <> ''), -4, NULL), ' ')" for w in V.QUERY_ROLES) + " END"
+_FEW = "list_filter(string_split(regexp_extract(q, '([a-z ]+\\b{w})', 1), ' '), lambda w: w <> '')"
+_ROLE = "CASE " + " ".join(f"WHEN regexp_extract(q, '([a-z ]+\\b{w})', 1) <> '' THEN array_to_string(list_slice({_FEW.format(w=w)}, greatest(1, len({_FEW.format(w=w)}) - 3), len({_FEW.format(w=w)})), ' ')" for w in V.QUERY_ROLES) + " END"
 _CITY = "regexp_extract(q, '\\b(" + "|".join(sorted(V.QUERY_CITIES)) + ")\\b', 1)"
 Q_READ = f"""qread AS (SELECT *, list_filter(list_filter(list_filter(skills, lambda s: NOT list_contains({_v(V.QUERY_LANGUAGES)}, s)), lambda s: NOT list_contains({_v(V.QUERY_FRAMEWORKS)}, s)), lambda s: NOT list_contains({_v(V.QUERY_TOOLS)}, s)) AS technologies,
   list_filter(skills, lambda s: list_contains({_v(V.QUERY_LANGUAGES)}, s)) AS languages, list_filter(skills, lambda s: list_contains({_v(V.QUERY_FRAMEWORKS)}, s)) AS frameworks, list_filter(skills, lambda s: list_contains({_v(V.QUERY_TOOLS)}, s)) AS tools
@@ -301,6 +302,8 @@ SQL = {
     "bm25_batch": f"{Q_IX} {q_top(q_scores('ix'), V.DEPTH)}",
     "bm25_multifield": f"{Q_IX}, {q_index('it', 'title')} {q_top(f'SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT query_id, chunk_id, score * 3.0 AS score FROM ({_BX}) UNION ALL SELECT query_id, chunk_id, score * 2.0 FROM ({_BT})) GROUP BY ALL', V.DEPTH)}",
     "set_cosine_batch": f"{Q_IX}, {Q_DOCTERM} {q_top(Q_SETC, V.DEPTH)}",
+    "dense_knn": "WITH n AS (SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM n a JOIN n b ON a.id % 20 = 0 AND a.id <> b.id) QUALIFY rank <= 10",
+    "l2_norms": "SELECT vec_id AS id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))",
     "rrf_fuse": f"{Q_FUSED} SELECT {_FUSED_COLUMNS} FROM fused",
     "rrf_enriched": f"{Q_FUSED} SELECT query_id, f.chunk_id, fused_rank, c.source, title FROM fused f JOIN corpus c ON f.chunk_id = c.chunk_id WHERE fused_rank <= 10",
     "benchmark_bootstrap": f"WITH {Q_BENCH} SELECT query_id, query, intent, source, array_to_string(entities, '|') AS entities, array_to_string(keywords, '|') AS keywords FROM bench",
