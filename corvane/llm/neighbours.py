@@ -30,6 +30,8 @@ DIMS, FIRST, MORE, MISS = 8, 3, 3, 0.02
 #: Vectors a leaf should hold, and the bound of the sample the trees are fitted on (at least LEAST_SAMPLE a node).
 LEAF, SAMPLE, LEAST_SAMPLE = 2_500, 20_000, 24
 SEED = 11
+#: Copies up to this many are dropped by a broadcast list, more by a shuffled join.
+MAX_BROADCAST = 100_000
 
 
 class Forest:
@@ -102,7 +104,7 @@ def _halves(column) -> np.ndarray:
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, vec): one row per id; vec is the vector at unit length, as dim 16-bit floats.
+    """(id, vec, h): one row per id; vec is the vector at unit length, as dim 16-bit floats, h its 128-bit digest.
 
     Null ids, and vectors that are null, of another length, zero, or hold a null or a number that is
     not finite, are left out. Of an id given several times the largest vector counts.
@@ -123,7 +125,7 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
 
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.mapInArrow(run, "id string, vec binary").groupBy("id").agg(F.max("vec").alias("vec"))
+    return rows.mapInArrow(run, "id string, vec binary").groupBy("id").agg(F.max("vec").alias("vec")).withColumn("h", F.md5("vec"))
 
 
 def _spread(forest: Forest, trees: range, later: bool):
@@ -160,7 +162,7 @@ def _search(k: int):
         who, near, sims = [], [], []
         for at in range(0, len(asks), 512):
             q = asks[at : at + 512]
-            s = v[q] @ v.T
+            s = np.minimum(v[q] @ v.T, 1)
             s[np.arange(len(q)), q] = -3
             if s.shape[1] > k:
                 # a bar at the k-th largest of every row thins the rows before they are sorted
@@ -208,12 +210,16 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataF
     Fewer than k rows where the collection holds fewer other vectors; none for an empty table.
     Further columns are ignored.
     """
-    spark = df.sparkSession
     rows = written(unit_vectors(df, key, vector, dim).withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    copies = rows.select(F.xxhash64("vec").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
-    if copies:
-        rows = written(rows.withColumn("m", F.row_number().over(Window.partitionBy("vec").orderBy("id"))), "vectors")
-    points = (rows.where("m = 1") if copies else rows).select("rid", "vec")
+    # classes of equal vectors: m numbers the ids of a class, rep is the row that stands for it
+    same = Window.partitionBy("h").orderBy("id")
+    members = rows.select("rid", "id", "h").withColumn("m", F.row_number().over(same)).withColumn("rep", F.first("rid").over(same))
+    members = written(members.select("rid", "id", "m", "rep"), "members")
+    extra = members.where("m > 1").select("rid")
+    some = extra.count()
+    points = rows.select("rid", "vec")
+    if some:
+        points = points.join(F.broadcast(extra) if some <= MAX_BROADCAST else extra, "rid", "left_anti")
     total = points.count()
     sample = points.select("vec").sample(min(1.0, 1.2 * SAMPLE / max(1, total)), 3).limit(SAMPLE).collect()
     forest = Forest(_halves(pa.array([bytes(r.vec) for r in sample], pa.binary())), total, FIRST + MORE)
@@ -226,20 +232,21 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataF
         more = state.mapInArrow(_spread(forest, range(FIRST, FIRST + MORE), True), leaves).groupBy("leaf").applyInArrow(_search(k), pairs)
         flat = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select("rid", F.col("p.near").alias("near"), F.col("p.sims").alias("sim"))
         first = written(_best(flat.unionByName(more), k), "best")
-    found = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select("rid", F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))
-    if not copies:
-        names = rows.select("rid", "id")
-        out = found.join(names.select(F.col("rid").alias("near"), F.col("id").alias("near_id")), "near").drop("near")
-        # ranked by rid, so that the last join finds its rows where they are
-        out = out.withColumn("rank", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("similarity"), "near_id")))
-        return out.join(names, "rid").select("id", "rank", "near_id", "similarity")
-    # equal vectors: every point stands for its k + 1 smallest ids, copies find each other first
-    heads = rows.groupBy("vec").agg(F.min(F.when(F.col("m") == 1, F.col("rid"))).alias("rep"))
-    member = rows.join(heads, "vec").select("id", "m", "rep")
-    few = member.where(F.col("m") <= k + 1).select(F.col("rep").alias("near"), F.col("id").alias("near_id"))
-    reps = found.unionByName(points.select("rid", F.col("rid").alias("near"), F.lit(1.0).alias("similarity")))
-    lists = reps.join(few, "near").select("rid", "near_id", "similarity")
-    lists = lists.withColumn("r", F.row_number().over(Window.partitionBy("rid").orderBy(F.desc("similarity"), "near_id"))).where(F.col("r") <= k + 1)
-    out = member.join(lists.withColumnRenamed("rid", "rep"), "rep").where("id <> near_id")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "near_id"))
-    return out.select("id", rank.alias("rank"), "near_id", "similarity").where(F.col("rank") <= k)
+    found = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select(F.col("rid").alias("rep"), F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))
+    # a class stands in a list with its k + 1 smallest ids; the members of a class find each other first
+    heads = members.where(F.col("m") <= k + 1).select(F.col("rep").alias("near"), F.col("id").alias("near_id"))
+    lists = found.join(heads, "near").select("rep", "near_id", "similarity")
+    copied = members.where("m = 2").select("rep")
+    if some:
+        own = members.where(F.col("m") <= k + 1).join(copied, "rep", "left_semi").select("rep", F.col("id").alias("near_id"), F.lit(1.0).alias("similarity"))
+        lists = lists.unionByName(own)
+    # ranked by rep, so that the join with the members finds its rows where they are
+    place = F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("similarity"), "near_id"))
+    lists = lists.withColumn("rank", place).where(F.col("rank") <= k + 1)
+    if not some:
+        return lists.where(F.col("rank") <= k).join(members.select("rep", "id"), "rep").select("id", "rank", "near_id", "similarity")
+    lists = written(lists, "lists")
+    alone = lists.where(F.col("rank") <= k).join(members.select("rep", "id").join(copied, "rep", "left_anti"), "rep").select("id", "rank", "near_id", "similarity")
+    many = lists.join(members.select("rep", "id").join(copied, "rep", "left_semi"), "rep").where("id <> near_id")
+    again = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "near_id"))
+    return alone.unionByName(many.withColumn("rank", again).where(F.col("rank") <= k).select("id", "rank", "near_id", "similarity"))

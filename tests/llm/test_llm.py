@@ -158,7 +158,7 @@ def test_nearest_recall_and_invalid_vectors(spark, monkeypatch):
 
 
 def test_copies_are_each_others_neighbours(spark):
-    rows = [(f"c{i:02d}", [1.0, 2.0, 3.0]) for i in range(40)] + [("d0", [2.0, 4.0, 6.1]), ("d1", [-1.0, 0.0, 0.0])]
+    rows = [(f"c{i:02d}", [1.0, 2.0, 3.0]) for i in range(40)] + [("d0", [2.0, 4.0, 7.0]), ("d1", [-1.0, 0.0, 0.0])]
     got = defaultdict(list)
     for r in sorted(neighbours.nearest(spark.createDataFrame(rows, "id string, v array<double>"), "id", "v", 3, 5).collect(), key=lambda r: (r.id, r["rank"])):
         got[r.id].append(r.near_id)
