@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from corvane.session import written
 
 #: The index: dimensions of a projection, trees verified first, trees for vectors that did not stop, chance accepted.
-DIMS, FIRST, MORE, MISS = 8, 3, 3, 0.02
+DIMS, FIRST, MORE, MISS = 8, 3, 2, 0.02
 #: Vectors a leaf should hold, and the bound of the sample the trees are fitted on (at least LEAST_SAMPLE a node).
-LEAF, SAMPLE, LEAST_SAMPLE = 2_500, 20_000, 24
+LEAF, SAMPLE, LEAST_SAMPLE = 4_000, 20_000, 24
 SEED = 11
 #: Copies up to this many are dropped by a broadcast list, more by a shuffled join.
 MAX_BROADCAST = 100_000
