@@ -92,8 +92,12 @@ def bullet_class(x: Column, section: str = "skills") -> Column:
 
 def entity_class(name: Column, category: Column | None = None) -> Column:
     """Ontology type of an entity name."""
-    x = squash_lower(name)
     cat = F.lit("") if category is None else squash_lower(category)
+    # bound once in a lambda, so that the normalised name is not repeated in every branch of the plan
+    return F.transform(F.array(squash_lower(name)), lambda x: _entity_class(x, cat))[0]
+
+
+def _entity_class(x: Column, cat: Column) -> Column:
     T = V.TERMS
     return (
         F.when(x.isin(T["ProgrammingLanguage"]), "ProgrammingLanguage")

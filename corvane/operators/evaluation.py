@@ -97,3 +97,58 @@ def errors(read: DataFrame, rows: DataFrame) -> DataFrame:
         (F.col("rrf") < F.greatest("bm25", "semantic"), "Poor RRF fusion"), (F.col("graph") < F.col("rrf"), "Incorrect graph score"),
     ]
     return j.select("query_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in cases]))).alias("category"))
+
+
+def expansion_rows(expansion: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(query_id, source, entity, hop, useful, noisy): each expansion against the query's entities and keywords.
+
+    Useful: it contains, or is contained in, one of them. Noisy: a soft skill, or below the least confidence.
+    """
+    from corvane.functions.arrays import entity_class
+
+    b = benchmark.select("query_id", F.array_union("entities", "keywords").alias("terms"))
+    x = expansion.join(b, "query_id").withColumn("source", F.element_at("path", -2))
+    useful = F.exists("terms", lambda t: F.contains(F.col("entity"), t) | F.contains(t, F.col("entity")))
+    noisy = (entity_class(F.col("entity")) == "SoftSkill") | (F.col("path_confidence") < V.MIN_CONFIDENCE)
+    return x.select("query_id", "source", "entity", "hop", useful.cast("int").alias("useful"), noisy.cast("int").alias("noisy"))
+
+
+def expansion_scores(rows: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(query_id, size, precision, noise_ratio) of every query, zeros where nothing was expanded."""
+    g = rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("size"), F.avg("useful").alias("p"))
+    z = benchmark.select("query_id").join(g, "query_id", "left")
+    return z.select("query_id", F.coalesce("size", F.lit(0)).alias("size"), F.round(F.coalesce("p", F.lit(0.0)), 6).alias("precision"), F.round(F.coalesce(1 - F.col("p"), F.lit(0.0)), 6).alias("noise_ratio"))
+
+
+def unrelated_producers(rows: DataFrame, k: int = 20) -> DataFrame:
+    """(source, expansions): the entities that most often lead to expansions of no use."""
+    return rows.where("useful = 0").groupBy("source").agg(F.count(F.lit(1)).alias("expansions")).orderBy(F.desc("expansions"), "source").limit(k)
+
+
+def graph_contribution(ranked: DataFrame, k: int = V.FINAL) -> DataFrame:
+    """(query_id, improved, hurt, mean_graph, mean_rrf, mean_final) over the first k results."""
+    return ranked.where(F.col("graph_rank") <= k).groupBy("query_id").agg(
+        F.count_if(F.col("final_score") > 1.05 * F.col("rrf_score")).alias("improved"), F.count_if(F.col("final_score") < 0.95 * F.col("rrf_score")).alias("hurt"),
+        F.round(F.avg("graph_score"), 4).alias("mean_graph"), F.round(F.avg("rrf_score"), 5).alias("mean_rrf"), F.round(F.avg("final_score"), 4).alias("mean_final"),
+    )
+
+
+def explanation_issues(explained: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, issue): what an explanation lacks: a summary, or a path's steps or confidence."""
+    e = F.col("explanation")
+    bad = F.filter(e["paths"], lambda p: (F.size(p["path"]) < 2) | (p["path_confidence"] <= 0))
+    issues = F.array_compact(F.array(F.when(F.coalesce(e["summary"], F.lit("")) == "", F.lit("Missing explanation summary")), F.when(F.size(bad) > 0, F.lit("Incomplete path"))))
+    return explained.select("query_id", "chunk_id", F.explode(issues).alias("issue"))
+
+
+def acceptance(expansion: DataFrame, summary: DataFrame, contribution: DataFrame) -> DataFrame:
+    """(criterion, passed): the acceptance criteria over one-row aggregates of the reports."""
+    x = expansion.agg(F.avg("precision").alias("ep"), F.avg("noise_ratio").alias("en"))
+    p = summary.agg(*[F.coalesce(F.max(F.when(F.col("stage") == s, F.col("precision"))), F.lit(0.0)).alias(s) for s in ("bm25", "semantic", "rrf", "graph")])
+    c = contribution.agg(F.sum("improved").alias("up"), F.sum("hurt").alias("down"))
+    one = x.join(p).join(c)  # one row each
+    checks = {
+        "expansion precision at least 0.5": F.col("ep") >= 0.5, "expansion noise at most 0.5": F.col("en") <= 0.5, "bm25 contributes": F.col("bm25") > 0, "semantic contributes": F.col("semantic") > 0,
+        "graph does not hurt": F.col("graph") >= 0.98 * F.col("rrf"), "graph improves more than it hurts": F.col("down") < F.col("up"),
+    }
+    return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()])).alias("x")).select("x.*")

@@ -65,13 +65,18 @@ def expand(seeds: DataFrame, edges: DataFrame, limit: int = V.EXPANSION_LIMIT, l
     return both.withColumn("rank", rank).where(F.col("rank") <= limit).drop("turn")
 
 
+def _typed(names) -> F.Column:
+    """explode of names as struct(dst, dst_label): the type is computed once a name, before the explode."""
+    return F.explode(F.transform(names, lambda n: F.struct(n.alias("dst"), A.entity_class(n).alias("dst_label")))).alias("t")
+
+
 def candidate_edges(profiles: DataFrame) -> DataFrame:
     """(src_label, src, relation, dst_label, dst, confidence) of cleaned profiles: skills and roles."""
     other = F.lit("HAS_SKILL")
-    skills = profiles.select(F.col("id").alias("src"), F.explode("all_skills").alias("dst")).withColumn("dst_label", A.entity_class(F.col("dst")))
+    skills = profiles.select(F.col("id").alias("src"), _typed("all_skills")).select("src", "t.*")
     rel = _relation(V.CANDIDATE_REL, other)
     skills = skills.select("src", rel.alias("relation"), "dst_label", "dst", F.when(F.col("dst_label") == "SoftSkill", 0.55).otherwise(0.85).alias("confidence"))
-    roles = profiles.select(F.col("id").alias("src"), F.explode("roles").alias("dst")).withColumn("dst_label", A.entity_class(F.col("dst"))).where("dst_label = 'Role'")
+    roles = profiles.select(F.col("id").alias("src"), _typed("roles")).select("src", "t.*").where("dst_label = 'Role'")
     roles = roles.select("src", F.lit("WORKED_AS").alias("relation"), "dst_label", "dst", F.lit(0.70).alias("confidence"))
     return skills.unionByName(roles).select(F.lit("Candidate").alias("src_label"), "*").distinct()
 
@@ -88,7 +93,7 @@ def demand_edges(demands: DataFrame) -> DataFrame:
     title = demands.where("job_title <> ''").select(F.col("id").alias("src"), F.col("job_title").alias("dst")).withColumn("dst_label", A.entity_class(F.col("dst"))).where("dst_label = 'Role'")
     title = title.select("src", F.lit("MATCHES_ROLE").alias("relation"), "dst_label", "dst", F.lit(0.82).alias("confidence"))
     place = demands.where("location <> ''").select(F.col("id").alias("src"), F.lit("LOCATED_IN").alias("relation"), F.lit("Location").alias("dst_label"), F.element_at(F.split("location", ", "), 1).alias("dst"), F.lit(0.95).alias("confidence"))
-    skills = demands.select(F.col("id").alias("src"), F.explode("all_skills").alias("dst")).withColumn("dst_label", A.entity_class(F.col("dst")))
+    skills = demands.select(F.col("id").alias("src"), _typed("all_skills")).select("src", "t.*")
     skills = skills.select("src", _relation(V.DEMAND_REL, F.lit("REQUIRES_SKILL")).alias("relation"), "dst_label", "dst", F.lit(0.88).alias("confidence"))
     return title.unionByName(place).unionByName(skills).select(F.lit("Demand").alias("src_label"), "*").distinct()
 
@@ -100,7 +105,7 @@ def description_edges(descriptions: DataFrame) -> DataFrame:
     title = title.select("src", F.lit("MATCHES_ROLE").alias("relation"), "dst_label", "dst", F.lit(0.82).alias("confidence"))
     domain = base.where("industry <> ''").select("src", F.lit("BELONGS_TO_DOMAIN").alias("relation"), F.lit("Domain").alias("dst_label"), F.col("industry").alias("dst"), F.lit(0.90).alias("confidence"))
     fields = F.explode(F.array(*[F.struct(F.lit(c).alias("confidence"), A.short(F.col(f)).alias("items")) for f, c in V.JD_CONFIDENCE.items()])).alias("f")
-    items = base.select("src", fields).select("src", "f.confidence", F.explode("f.items").alias("dst")).withColumn("dst_label", A.entity_class(F.col("dst")))
+    items = base.select("src", fields).select("src", "f.confidence", _typed("f.items")).select("src", "confidence", "t.*")
     items = items.select("src", _relation(V.DEMAND_REL, F.lit("REQUIRES_SKILL")).alias("relation"), "dst_label", "dst", "confidence")
     # one edge per pair and relation: the most confident field counts
     items = items.groupBy("src", "relation", "dst_label", "dst").agg(F.max("confidence").alias("confidence"))

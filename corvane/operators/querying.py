@@ -74,3 +74,39 @@ def expanded_text(queries: DataFrame, expansion: DataFrame) -> DataFrame:
     q = queries.join(found, "query_id", "left").withColumn("expansions", F.coalesce("expansions", F.array().cast("array<string>")))
     new = F.filter(F.col("expansions"), lambda e: ~F.array_contains(F.split(F.lower("query"), " +"), F.lower(e)))
     return q.withColumn("expanded_query", F.trim(F.concat_ws(" ", "query", F.array_join(new, " "))))
+
+
+#: Fields of a model's answer to a query, as JSON.
+READING = (
+    "intent string, original_query string, role string, skills array<string>, technologies array<string>, tools array<string>, frameworks array<string>, "
+    "programming_languages array<string>, soft_skills array<string>, certifications array<string>, education array<string>, industry array<string>, "
+    "location string, experience string, filters string"
+)
+
+
+def parse_answers(answers: DataFrame) -> DataFrame:
+    """answers (query_id, query, answer) read into the structured form, with an `error` where that fails.
+
+    Code fences are removed; missing lists are empty; location, experience and filters that are no objects
+    are empty; years that are no numbers and filters that are neither yes nor no are null.
+    """
+    a = answers.withColumn("_x", F.from_json(X.unfence(F.col("answer")), READING))
+    x = lambda n: F.col(f"_x.{n}")
+    place = F.from_json(x("location"), "city string, state string, country string")
+    work = F.from_json(x("experience"), "min_years string, max_years string")
+    flags = F.from_json(x("filters"), "remote string, full_time string, internship string")
+    flag = lambda c: F.when(F.lower(c).isin("true", "1", "yes"), True).when(F.lower(c).isin("false", "0", "no"), False)
+    number = lambda c: F.nullif(F.trim(c), F.lit("")).try_cast("double")
+    lists = ["skills", "technologies", "tools", "frameworks", "programming_languages", "soft_skills", "certifications", "education", "industry"]
+    known = x("intent").isin(list(V.INTENT_SOURCE))
+    return a.select(
+        "query_id",
+        F.when(F.col("_x").isNull(), "not a JSON object").when(~F.coalesce(known, F.lit(False)), F.concat(F.lit("unknown intent: "), F.coalesce(x("intent"), F.lit("none")))).alias("error"),
+        F.when(known, x("intent")).alias("intent"),
+        F.coalesce(x("original_query"), "query").alias("original_query"),
+        x("role").alias("role"),
+        *[F.coalesce(x(n), F.array().cast("array<string>")).alias(n) for n in lists],
+        place["city"].alias("city"), place["state"].alias("state"), place["country"].alias("country"),
+        number(work["min_years"]).alias("min_years"), number(work["max_years"]).alias("max_years"),
+        *[flag(flags[n]).alias(n) for n in ("remote", "full_time", "internship")],
+    )

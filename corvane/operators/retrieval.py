@@ -110,6 +110,8 @@ def exact_vectors(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> D
     import pyarrow as pa
 
     def scan(q_ids: list[int], q: np.ndarray):
+        keep_k = k + 1  # a query may find itself
+
         def run(batches):
             best: list[tuple] = []
             for batch in batches:
@@ -119,11 +121,11 @@ def exact_vectors(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> D
                 v = np.asarray(batch.column(1).flatten()).reshape(-1, dim)
                 s = np.round(q @ v.T, 6)
                 for i, qid in enumerate(q_ids):
-                    keep = np.flatnonzero(s[i] >= np.partition(s[i], -k)[-k]) if len(ids) > k else np.arange(len(ids))
+                    keep = np.flatnonzero(s[i] >= np.partition(s[i], -keep_k)[-keep_k]) if len(ids) > keep_k else np.arange(len(ids))
                     best.append((np.full(len(keep), qid), ids[keep], s[i][keep]))
                 if len(best) > 64 * len(q_ids):
-                    best = _shorten(best, k)
-            best = _shorten(best, k)
+                    best = _shorten(best, keep_k)
+            best = _shorten(best, keep_k)
             if best:
                 a, b, c = best[0]
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "id", "score"])

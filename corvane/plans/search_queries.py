@@ -236,6 +236,11 @@ QUERIES = {
     "rank_moves": _moves,
     "error_classes": _errors,
     "understanding_scores": lambda s, d: E.understanding(*_reading(s)[:2]),
+    "expansion_rows": lambda s, d: E.expansion_rows(_reading(s)[2], U.benchmark(s)),
+    "expansion_scores": lambda s, d: E.expansion_scores(E.expansion_rows(_reading(s)[2], U.benchmark(s)), U.benchmark(s)),
+    "unrelated_producers": lambda s, d: E.unrelated_producers(E.expansion_rows(_reading(s)[2], U.benchmark(s))),
+    "graph_contribution": lambda s, d: E.graph_contribution(ranked(s, d)),
+    "acceptance": lambda s, d: E.acceptance(E.expansion_scores(E.expansion_rows(_reading(s)[2], U.benchmark(s)), U.benchmark(s)), E.stage_summary(metric_rows(s, d)), E.graph_contribution(ranked(s, d))),
     "quality_profile": lambda s, d: Q.profile(table(s, d, "demands"), ["id", "account_code", "job_title", "primary_skills", "all_skills", "city", "country", "experience_lower", "experience_upper", "job_text"]),
     "repeated_rows": lambda s, d: Q.repeated_rows(table(s, d, "demands").select("id", "job_title", "experience_lower", "experience_upper", "loaded_at"), "id"),
     "json_validity": lambda s, d: Q.json_validity(table(s, d, "jd_cleaned"), ["must_have_skills", "tools", "education", "job_title"]),
@@ -293,8 +298,17 @@ _MISS = "list_sort(list_filter(entities, lambda x: NOT list_contains(got, x)))"
 _WRONG = "list_sort(list_filter(got, lambda x: NOT list_contains(entities, x)))"
 Q_UNDER = f"""under AS (SELECT query_id, CASE WHEN intent = predicted_intent THEN 1 ELSE 0 END AS intent_correct, round(b / greatest(len(got), 1), 6) AS entity_precision, round(b / greatest(len(entities), 1), 6) AS entity_recall, array_to_string({_MISS}, ', ') AS missing, array_to_string({_WRONG}, ', ') AS incorrect
   FROM (SELECT q.*, coalesce(s.got, CAST([] AS VARCHAR[])) AS got, len(list_filter(entities, lambda x: list_contains(coalesce(s.got, CAST([] AS VARCHAR[])), x))) AS b FROM qread q LEFT JOIN (SELECT query_id, list(DISTINCT entity) AS got FROM qseed GROUP BY ALL) s ON q.query_id = s.query_id))"""
+_TERMS = "list_concat(entities, keywords)"
+Q_XROWS = f"xrow AS (SELECT x.query_id, path[-2] AS source, entity, hop, CASE WHEN len(list_filter({_TERMS}, lambda t: contains(entity, t) OR contains(t, entity))) > 0 THEN 1 ELSE 0 END AS useful, CASE WHEN {q_class('entity')} = 'SoftSkill' OR path_confidence < {V.MIN_CONFIDENCE} THEN 1 ELSE 0 END AS noisy FROM expansion x JOIN bench b ON x.query_id = b.query_id)"
+_XSCORES = "SELECT b.query_id, coalesce(size, 0) AS size, round(coalesce(p, 0), 6) AS precision, round(coalesce(1 - p, 0), 6) AS noise_ratio FROM bench b LEFT JOIN (SELECT query_id, count(*) AS size, avg(useful) AS p FROM xrow GROUP BY ALL) g ON b.query_id = g.query_id"
+_CONTRIB = f"SELECT query_id, count(*) FILTER (final_score > 1.05 * rrf_score) AS improved, count(*) FILTER (final_score < 0.95 * rrf_score) AS hurt, round(avg(graph_score), 4) AS mean_graph, round(avg(rrf_score), 5) AS mean_rrf, round(avg(final_score), 4) AS mean_final FROM ranked WHERE graph_rank <= {V.FINAL} GROUP BY query_id"
+_AT10 = "SELECT " + ", ".join(f"coalesce(avg(CASE WHEN stage = '{x}' THEN precision END), 0) AS {x}" for x in ("bm25", "semantic", "rrf", "graph")) + " FROM metric WHERE k = 10"
+_CHECKS = [("expansion precision at least 0.5", "ep >= 0.5"), ("expansion noise at most 0.5", "en <= 0.5"), ("bm25 contributes", "bm25 > 0"), ("semantic contributes", "semantic > 0"), ("graph does not hurt", "graph >= 0.98 * rrf"), ("graph improves more than it hurts", "down < up")]
 _DQ = ["id", "account_code", "job_title", "primary_skills", "all_skills", "city", "country", "experience_lower", "experience_upper", "job_text"]
 
+_UNIT = """e AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), l AS MATERIALIZED (SELECT id, e, sqrt(list_inner_product(e, e)) AS len FROM e),
+n AS MATERIALIZED (SELECT id, list_transform(e, lambda x: x / len) AS v FROM l)"""
+
 SQL = {
     "hybrid_explained": f"{_RANKED} SELECT query_id, chunk_id, graph_rank AS final_rank, final_score AS combined_score, {_LABEL} AS quality_label, 'This result has a ' || {_LABEL} || ' relevance to your query ''' || query || '''. ' || CASE WHEN {_PARTS} <> '' THEN {_PARTS} ELSE 'No direct or expanded entity matches found.' END || '.' AS summary, CAST(least(len(me), 10) AS INT) AS paths FROM ranked JOIN bench USING (query_id) WHERE graph_rank <= {V.FINAL}",
     "term_df_top": f"{Q_IX} SELECT source, term, df FROM ix_df ORDER BY df DESC, source, term LIMIT 50",
@@ -302,8 +316,8 @@ SQL = {
     "bm25_batch": f"{Q_IX} {q_top(q_scores('ix'), V.DEPTH)}",
     "bm25_multifield": f"{Q_IX}, {q_index('it', 'title')} {q_top(f'SELECT query_id, chunk_id, round(max(score), 6) AS score FROM (SELECT query_id, chunk_id, score * 3.0 AS score FROM ({_BX}) UNION ALL SELECT query_id, chunk_id, score * 2.0 FROM ({_BT})) GROUP BY ALL', V.DEPTH)}",
     "set_cosine_batch": f"{Q_IX}, {Q_DOCTERM} {q_top(Q_SETC, V.DEPTH)}",
-    "dense_knn": "WITH n AS (SELECT vec_id AS id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)) SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM n a JOIN n b ON a.id % 20 = 0 AND a.id <> b.id) QUALIFY rank <= 10",
-    "l2_norms": "SELECT vec_id AS id, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS norm2 FROM (SELECT vec_id, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings))",
+    "dense_knn": f"WITH {_UNIT} SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INT) AS rank FROM (SELECT a.id AS query_id, b.id, round(list_inner_product(a.v, b.v), 6) AS score FROM (SELECT * FROM n WHERE id % 20 = 0) a, n b WHERE a.id <> b.id) QUALIFY rank <= 10",
+    "l2_norms": f"WITH {_UNIT} SELECT id, round(list_inner_product(v, v), 6) AS norm2 FROM n",
     "rrf_fuse": f"{Q_FUSED} SELECT {_FUSED_COLUMNS} FROM fused",
     "rrf_enriched": f"{Q_FUSED} SELECT query_id, f.chunk_id, fused_rank, c.source, title FROM fused f JOIN corpus c ON f.chunk_id = c.chunk_id WHERE fused_rank <= 10",
     "benchmark_bootstrap": f"WITH {Q_BENCH} SELECT query_id, query, intent, source, array_to_string(entities, '|') AS entities, array_to_string(keywords, '|') AS keywords FROM bench",
@@ -329,6 +343,11 @@ SQL = {
     "rank_moves": f"{_RANKED} SELECT query_id, CAST(count(*) FILTER (d > 0) AS BIGINT) AS moved_up, CAST(count(*) FILTER (d < 0) AS BIGINT) AS moved_down, round(avg(greatest(d, 0)), 5) AS gain, round(avg(least(d, 0)), 5) AS loss FROM (SELECT query_id, fused_rank - graph_rank AS d FROM ranked) GROUP BY query_id",
     "error_classes": f"{_METRICS}, {Q_UNDER}, at10 AS (SELECT query_id, " + ", ".join(f"coalesce(max(CASE WHEN stage = '{x}' THEN precision END), 0) AS {x}" for x in ("bm25", "semantic", "rrf", "graph")) + " FROM metric WHERE k = 10 GROUP BY ALL), j AS (SELECT u.*, " + ", ".join(f"coalesce(a.{x}, 0) AS {x}" for x in ("bm25", "semantic", "rrf", "graph")) + " FROM under u LEFT JOIN at10 a ON u.query_id = a.query_id) SELECT category, count(*) AS queries FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS category FROM j WHERE {c}" for n, c in [("Wrong intent", "intent_correct = 0"), ("Missing entity", "missing <> ''"), ("Hallucinated/incorrect entity", "incorrect <> ''"), ("Wrong BM25 retrieval", "bm25 = 0"), ("Weak semantic retrieval", "semantic = 0"), ("Poor RRF fusion", "rrf < greatest(bm25, semantic)"), ("Incorrect graph score", "graph < rrf")]) + ") GROUP BY category",
     "understanding_scores": f"WITH {Q_BENCH}, {Q_READ}, {Q_SEEDS}, {Q_UNDER} SELECT * FROM under",
+    "expansion_rows": f"{Q_GRAPH}, {Q_XROWS} SELECT * FROM xrow",
+    "expansion_scores": f"{Q_GRAPH}, {Q_XROWS} {_XSCORES}",
+    "unrelated_producers": f"{Q_GRAPH}, {Q_XROWS} SELECT source, count(*) AS expansions FROM xrow WHERE useful = 0 GROUP BY source ORDER BY expansions DESC, source LIMIT 20",
+    "graph_contribution": f"{_RANKED} {_CONTRIB}",
+    "acceptance": f"{_METRICS}, {Q_XROWS}, one AS (SELECT * FROM (SELECT avg(precision) AS ep, avg(noise_ratio) AS en FROM ({_XSCORES})), ({_AT10}), (SELECT sum(improved) AS up, sum(hurt) AS down FROM ({_CONTRIB}))) " + " UNION ALL ".join(f"SELECT '{n}' AS criterion, {c} AS passed FROM one" for n, c in _CHECKS),
     "quality_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (trim({c}) = '') AS blanks, count(DISTINCT {c}) AS distinct_values FROM demands" for c in _DQ),
     "repeated_rows": "SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT id, job_title, experience_lower, experience_upper, loaded_at FROM demands)) AS distinct_rows, count(DISTINCT id) AS distinct_keys, (SELECT count(*) FROM (SELECT id FROM demands WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) AS repeated_keys FROM demands",
     "json_validity": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS filled, count(*) FILTER (json_valid({c})) AS valid FROM jd_cleaned WHERE trim({c}) <> ''" for c in ("must_have_skills", "tools", "education", "job_title")),
