@@ -328,7 +328,7 @@ SQL = {
     "ontology_counts": f"WITH {Q_ONTO} SELECT source_type, target_type, count(*) AS edges FROM edge GROUP BY ALL",
     "expand_2hop": f"{Q_GRAPH} SELECT query_id, entity, hop, array_to_string(path, '>') AS path, path_confidence, rank FROM expansion",
     "expanded_query": f"{Q_GRAPH} SELECT b.query_id, trim(concat_ws(' ', query, array_to_string(list_filter(coalesce(x.xs, CAST([] AS VARCHAR[])), lambda e: NOT list_contains(string_split(query, ' '), e)), ' '))) AS expanded_query FROM bench b LEFT JOIN (SELECT query_id, list(entity ORDER BY rank) AS xs FROM expansion GROUP BY ALL) x ON b.query_id = x.query_id",
-    "graph_edges": f"{_EDGES} SELECT * FROM gedge",
+    "graph_edges": f"{_EDGES} SELECT * REPLACE (CAST(confidence AS DOUBLE) AS confidence) FROM gedge",
     "graph_nodes": f"{_EDGES} SELECT src_label AS label, src AS name FROM gedge UNION SELECT dst_label, dst FROM gedge",
     "candidate_skills": f"{_EDGES} SELECT src, array_to_string(list_sort(list(DISTINCT dst)), '|') AS skills FROM gedge WHERE src_label = 'Candidate' GROUP BY src",
     "node_degree_top": f"WITH {Q_ONTO} SELECT source, count(DISTINCT target) AS degree FROM edge GROUP BY ALL ORDER BY degree DESC, source LIMIT 20",
