@@ -89,6 +89,27 @@ def test_records_without_allocation_are_scanned(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == brute_groups(texts, 3, 0.5, 25)[0]
 
 
+def test_many_lone_records_of_one_partition_are_all_scanned(spark, monkeypatch):
+    real = neardup._allocate
+
+    def none(n, *a):
+        level, enough = real(n, *a)
+        return np.zeros_like(level), np.zeros_like(enough)
+
+    monkeypatch.setattr(neardup, "_allocate", none)
+    monkeypatch.setattr(neardup, "SCAN_BLOCK", 150)
+    rng = random.Random(2)
+    texts = {}
+    for g in range(200):  # numbers 194 to 244 begin with a byte that leads a character in UTF-8
+        base = [f"w{rng.randrange(5000)}" for _ in range(40)]
+        texts |= {f"r{g:03d}a": " ".join(base), f"r{g:03d}b": " ".join(base[:-3] + ["x", "y"])}
+    df = spark.createDataFrame(list(texts.items()), "id string, t string").coalesce(1)
+    groups = defaultdict(set)
+    for r in neardup.near_duplicates(df, "id", "t", 3, 0.5, 25).collect():
+        groups[r.group_id].add(r.id)
+    assert {frozenset(g) for g in groups.values()} == brute_groups(texts, 3, 0.5, 25)[0]
+
+
 def test_many_copies_are_one_group(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.range(3000).select(F.format_string("c%05d", "id").alias("id"), F.lit(text).alias("t"))
