@@ -6,9 +6,11 @@ distance d projects to a coordinate distributed N(0, d^2), its square over d^2 t
 A vector is first verified against its own leaf in FIRST trees, which gives the distance d_k of its
 k-th neighbour so far. The chi-square test (one degree of freedom per splitting plane) then bounds the
 chance that a point within d_k lies beyond the planes of every leaf seen. Vectors whose chance exceeds
-MISS go on to the leaves of further trees; the others stop.
+MISS go on, in rounds, to the likeliest leaves of one further tree a round, as many as the test asks for;
+a round may see WIDER times as many leaves as the one before, up to all of them, so no vector stops
+before it passes the test.
 
-A leaf holds about LEAF vectors whatever their number, so verification grows in proportion to the data.
+A leaf holds about LEAF vectors whatever their number; the leaves a vector needs grow with the depth.
 Equal vectors are one point, whose k + 1 smallest ids stand for it (further copies could not appear in
 any list), so no leaf is filled by copies.
 """
@@ -25,8 +27,14 @@ from pyspark.sql import functions as F
 
 from corvane.session import written
 
-#: The index: dimensions of a projection, trees verified first, trees for vectors that did not stop, chance accepted.
-DIMS, FIRST, MORE, MISS = 8, 3, 2, 0.02
+#: The index: dimensions of a projection, trees verified first, chance accepted.
+DIMS, FIRST, MISS = 8, 3, 0.02
+#: Leaves a vector may see in the first round of further trees, and the factor from round to round.
+LEAVES, WIDER = 8, 8
+#: Bits of a leaf inside its block: a vector that searches several leaves of a block is sent there once, with a mask.
+BLOCK = 2
+#: Searching vectors that one task should hold with a block, and (vector, leaf) cells weighed at once.
+ASKERS, CELLS = 50_000, 1 << 18
 #: Vectors a leaf should hold, and the bound of the sample the trees are fitted on (at least LEAST_SAMPLE a node).
 LEAF, SAMPLE, LEAST_SAMPLE = 4_000, 20_000, 24
 SEED = 11
@@ -34,11 +42,23 @@ SEED = 11
 MAX_BROADCAST = 100_000
 
 
+def _depth(total: int, leaf: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, total) / leaf)))
+
+
+def _rounds(depth: int) -> int:
+    """Rounds of further trees until one may see every leaf."""
+    rounds = 0
+    while depth and (not rounds or LEAVES * WIDER ** (rounds - 1) < 2**depth):
+        rounds += 1
+    return rounds
+
+
 class Forest:
     """kd-trees over projections: split dimensions and thresholds by level."""
 
     def __init__(self, sample: np.ndarray, total: int, trees: int, dims: int = DIMS, leaf: int = LEAF):
-        self.depth = max(0, math.ceil(math.log2(max(1, total) / leaf)))
+        self.depth = _depth(total, leaf)
         width = sample.shape[1] if len(sample) else 1
         rng = np.random.default_rng(SEED)
         self.trees = []
@@ -87,6 +107,42 @@ class Forest:
         return miss
 
 
+    def visits(self, tree: int, v: np.ndarray, d: np.ndarray, allowed: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf) in parallel: the likeliest leaves of a point at distance d, and the chance left beside them.
+
+        Leaves are added until that chance is `allowed` or there are `most`. A leaf is a box of independent
+        coordinates N(x, d^2), so its chance is a product; on the way down the unlikeliest nodes are dropped.
+        """
+        directions, levels, rest = self.trees[tree]
+        x, n = (v @ directions).astype(np.float64), len(v)
+        row, node, mass, lost = np.arange(n), np.zeros(n, np.int64), np.ones(n), np.zeros(n)
+        low, high = np.zeros(x.shape), np.ones(x.shape)  # the box, as values of the distribution function
+        for level, (dim, cut) in enumerate([*levels, *rest]):
+            at = np.arange(len(node))
+            dim, cut = (dim[node], cut[node]) if level < len(levels) else (np.full(len(node), dim), np.full(len(node), cut))
+            z = (cut - x[row, dim]) / np.maximum(d[row], 1e-6)
+            below = np.where(z >= 0, _within(np.abs(z)), 1 - _within(np.abs(z)))
+            a, b = low[at, dim], high[at, dim]
+            below = np.clip(below, a, b)
+            share = np.where(b > a, (below - a) / np.maximum(b - a, 1e-300), 0.5)
+            left_high, right_low = high.copy(), low.copy()
+            left_high[at, dim], right_low[at, dim] = below, below
+            row, node, mass = np.r_[row, row], np.r_[2 * node, 2 * node + 1], np.r_[mass * share, mass * (1 - share)]
+            low, high = np.concatenate([low, right_low]), np.concatenate([left_high, high])
+            order = np.lexsort((mass, row))
+            row, mass = row[order], mass[order]
+            count = np.bincount(row, minlength=n)
+            ends = np.cumsum(count)
+            sums = np.cumsum(mass)
+            below_row = np.r_[0.0, sums][ends - count]
+            keep = (sums - below_row[row] + lost[row] > allowed[row] * (level + 1) / self.depth) | (allowed[row] <= 0)
+            keep &= ends[row] - np.arange(len(row)) <= most
+            lost += np.bincount(row[~keep], weights=mass[~keep], minlength=n)
+            order = order[keep]
+            row, node, mass, low, high = row[keep], node[order], mass[keep], low[order], high[order]
+        return row, node, lost
+
+
 def _within(z: np.ndarray) -> np.ndarray:
     """Chance that a difference does not cross a plane z standard deviations away: (1 + chi2_1(z^2)) / 2.
 
@@ -128,51 +184,94 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return rows.mapInArrow(run, "id string, vec binary").groupBy("id").agg(F.max("vec").alias("vec")).withColumn("h", F.md5("vec"))
 
 
-def _spread(forest: Forest, trees: range, later: bool):
-    """Rows (leaf, rid, ask, bar, vec) for the leaves of the trees; ask: the vector searches, above similarity bar."""
+def _spread(forest: Forest, trees: range, ask: bool):
+    """Rows (block, mask, rid, ask, member, bar, vec) for the own leaves of vectors in the trees.
+
+    ask: they search there as well, and a leaf is a block of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             v = _halves(batch.column("vec"))
-            ask, bar = np.ones(len(v), bool), np.full(len(v), -2.0, np.float32)
-            if later:
-                bar = np.asarray(batch.column("bar").fill_null(-2.0), np.float32)
-                d = np.sqrt(np.maximum(0, 2 - 2 * bar))
-                ask = forest.chance_missed(range(FIRST), v, d) > MISS
+            n = len(v)
             for t in trees:
                 leaf, _ = forest.place(t, v)
+                block = (np.int64(t) << 44) + leaf
+                block, mask = (block, np.ones(n)) if ask else (block >> BLOCK, 1 << (leaf & (1 << BLOCK) - 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.int64(t) << 44) + leaf), batch.column("rid"), pa.array(ask), pa.array(bar), batch.column("vec")], names=["leaf", "rid", "ask", "bar", "vec"]
+                    [pa.array(block), pa.array(mask.astype(np.int32)), batch.column("rid"), pa.array(np.full(n, ask)), pa.array(np.ones(n, bool)), pa.array(np.full(n, -2, np.float32)), batch.column("vec")],
+                    names=["block", "mask", "rid", "ask", "member", "bar", "vec"],
                 )
 
     return run
 
 
+def _go_on(forest: Forest, tree: int, most: int):
+    """Of (rid, vec, bar, left) those that fail the test, with the leaves of the tree to see and the chance left then.
+
+    bar is the k-th similarity so far (null: fewer than k), left the chance left by the rounds before.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            v, left = _halves(batch.column("vec")), np.asarray(batch.column("left"))
+            bar = np.asarray(batch.column("bar").fill_null(-2.0), np.float32)
+            d = np.sqrt(np.maximum(0, 2 - 2 * bar))
+            miss = forest.chance_missed(range(FIRST), v, d) * left
+            few = (bar <= -2) & (left > 1e-6)  # sees every leaf, if it must
+            fails = np.flatnonzero((miss > MISS * (1 + 1e-6)) | few)
+            step = max(1, CELLS // min(most, 1 << forest.depth))
+            for k in range(0, len(fails), step):
+                at = fails[k : k + step]
+                allowed = np.where(few[at], 0, MISS / np.maximum(miss[at], MISS))
+                row, leaf, lost = forest.visits(tree, v[at], d[at], allowed, most)
+                order = np.lexsort((leaf, row))
+                row, block, bit = row[order], ((np.int64(tree) << 44) + leaf[order]) >> BLOCK, 1 << (leaf[order] & (1 << BLOCK) - 1)
+                new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (block[1:] != block[:-1])])
+                offsets = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(at)))]
+                places = pa.StructArray.from_arrays([pa.array(block[new]), pa.array(np.add.reduceat(bit, new).astype(np.int32))], names=["block", "mask"])
+                leaves = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), places)
+                take = pa.array(at)
+                yield pa.RecordBatch.from_arrays([batch.column("rid").take(take), leaves, pa.array(bar[at]), pa.array(left[at] * lost), batch.column("vec").take(take)], names=["rid", "leaves", "bar", "left", "vec"])
+
+    return run
+
+
 def _search(k: int):
-    """The k most similar within a leaf of every vector that asks, above its bar."""
+    """The k most similar within the leaves of a block of every vector that asks, above its bar."""
 
     def run(table):
         rid = np.asarray(table.column("rid").combine_chunks())
-        ask = np.asarray(table.column("ask").combine_chunks())
         bar = np.asarray(table.column("bar").combine_chunks())
         v = _halves(table.column("vec").combine_chunks())
-        asks = np.flatnonzero(ask)
+        mask = np.asarray(table.column("mask").combine_chunks())
+        ask = np.asarray(table.column("ask").combine_chunks())
+        member = np.asarray(table.column("member").combine_chunks())
         who, near, sims = [], [], []
-        for at in range(0, len(asks), 512):
-            q = asks[at : at + 512]
-            s = np.minimum(v[q] @ v.T, 1)
-            s[np.arange(len(q)), q] = -3
-            if s.shape[1] > k:
-                # a bar at the k-th largest of every row thins the rows before they are sorted
-                low = np.maximum(bar[q], np.partition(s, -k, axis=1)[:, -k])
-            else:
-                low = bar[q]
-            i, j = np.nonzero(s >= np.maximum(low, -2)[:, None])
-            who.append(rid[q[i]])
-            near.append(rid[j])
-            sims.append(s[i, j])
+        for bit in range(1 << BLOCK):
+            inside = (mask >> bit & 1) > 0
+            asks, members = np.flatnonzero(ask & inside), np.flatnonzero(member & inside)
+            members = members[np.argsort(rid[members])]
+            base, ids = v[members], rid[members]
+            for at in range(0, len(asks) if len(members) else 0, 512):
+                q = asks[at : at + 512]
+                s = np.minimum(v[q] @ base.T, 1)
+                own = np.minimum(np.searchsorted(ids, rid[q]), len(ids) - 1)
+                here = ids[own] == rid[q]
+                s[np.flatnonzero(here), own[here]] = -3
+                low = np.maximum(bar[q], -2)
+                if s.shape[1] > k:
+                    # a bar at the k-th largest of a row thins it before it is sorted, where its own does not
+                    many = np.flatnonzero((low <= -2) | ((s >= low[:, None]).sum(axis=1) > 4 * k))
+                    low[many] = np.maximum(low[many], np.partition(s[many], -k, axis=1)[:, -k])
+                i, j = np.nonzero(s >= low[:, None])
+                who.append(rid[q[i]])
+                near.append(ids[j])
+                sims.append(s[i, j])
         join = lambda x, t: pa.array(np.concatenate(x) if x else np.zeros(0, t))
         return pa.table({"rid": join(who, np.int64), "near": join(near, np.int64), "sim": join(sims, np.float32)})
 
@@ -222,14 +321,26 @@ def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataF
         points = points.join(F.broadcast(extra) if some <= MAX_BROADCAST else extra, "rid", "left_anti")
     total = points.count()
     sample = points.select("vec").sample(min(1.0, 1.2 * SAMPLE / max(1, total)), 3).limit(SAMPLE).collect()
-    forest = Forest(_halves(pa.array([bytes(r.vec) for r in sample], pa.binary())), total, FIRST + MORE)
-    leaves = "leaf long, rid long, ask boolean, bar float, vec binary"
+    depth = _depth(total, LEAF)
+    forest = Forest(_halves(pa.array([bytes(r.vec) for r in sample], pa.binary())), total, FIRST + _rounds(depth), leaf=LEAF)
+    leaves = "block long, mask int, rid long, ask boolean, member boolean, bar float, vec binary"
     pairs = "rid long, near long, sim float"
-    first = points.mapInArrow(_spread(forest, range(FIRST), False), leaves).groupBy("leaf").applyInArrow(_search(k), pairs)
+    first = points.mapInArrow(_spread(forest, range(FIRST), True), leaves).groupBy("block").applyInArrow(_search(k), pairs)
     first = written(_best(first, k), "first")
-    if forest.depth:
-        state = points.join(first.select("rid", F.when(F.size("sims") >= k, F.element_at("sims", k)).cast("float").alias("bar")), "rid", "left")
-        more = state.mapInArrow(_spread(forest, range(FIRST, FIRST + MORE), True), leaves).groupBy("leaf").applyInArrow(_search(k), pairs)
+    state = points.withColumn("left", F.lit(1.0))
+    for turn in range(_rounds(depth)):
+        bars = first.select("rid", F.when(F.size("sims") >= k, F.element_at("sims", k)).cast("float").alias("bar"))
+        tree = FIRST + turn
+        state = state.select("rid", "vec", "left").join(bars, "rid", "left")
+        state = written(state.mapInArrow(_go_on(forest, tree, LEAVES * WIDER**turn), "rid long, leaves array<struct<block: long, mask: int>>, bar float, left double, vec binary"), "failing")
+        seen = state.agg(F.sum(F.size("leaves")).alias("s")).first().s
+        if not seen:
+            break
+        # a block that many search is dealt out in slices, each with all its members
+        slices = math.ceil(seen / max(1, 2**depth >> BLOCK) / ASKERS)
+        members_of = points.mapInArrow(_spread(forest, range(tree, tree + 1), False), leaves).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        askers = state.select(F.inline("leaves"), "rid", "bar", "vec").select("block", "mask", "rid", F.lit(True).alias("ask"), F.lit(False).alias("member"), "bar", "vec", F.pmod(F.hash("rid"), F.lit(slices)).alias("slice"))
+        more = members_of.unionByName(askers).groupBy("block", "slice").applyInArrow(_search(k), pairs)
         flat = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select("rid", F.col("p.near").alias("near"), F.col("p.sims").alias("sim"))
         first = written(_best(flat.unionByName(more), k), "best")
     found = first.select("rid", F.explode(F.arrays_zip("near", "sims")).alias("p")).select(F.col("rid").alias("rep"), F.col("p.near").alias("near"), F.col("p.sims").cast("double").alias("similarity"))

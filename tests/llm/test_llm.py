@@ -178,6 +178,34 @@ def test_nearest_recall_and_invalid_vectors(spark, monkeypatch):
     assert Counter(r.id for r in got) == {f"v{i:04d}": 5 for i in range(len(x))}
 
 
+def test_search_goes_on_in_deep_trees_until_the_test_holds(spark, monkeypatch):
+    real = neighbours.Forest.__init__
+    monkeypatch.setattr(neighbours, "LEAF", 20)
+    monkeypatch.setattr(neighbours.Forest, "__init__", lambda self, sample, total, trees, dims=neighbours.DIMS, leaf=20: real(self, sample, total, trees, dims, 20))
+    x = clusters(3000, 32, 4)  # trees of depth 8
+    df = spark.createDataFrame([(f"v{i:04d}", r.astype(float).tolist()) for i, r in enumerate(x)], "id string, v array<double>")
+    mine = {(r.id, r.near_id) for r in neighbours.nearest(df, "id", "v", 32, 5).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    wanted = {(f"v{i:04d}", f"v{j:04d}") for i in range(len(x)) for j in np.argsort(-s[i])[:5]}
+    recall = len(wanted & mine) / len(wanted)
+    print("recall", recall)
+    assert len(mine) == 5 * len(x) and recall >= 0.97
+
+
+def test_leaves_to_see_leave_no_more_than_the_chance_allowed():
+    x = clusters(3000, 32, 5).astype(np.float32)
+    f = neighbours.Forest(x, len(x), 1, leaf=20)
+    d = np.full(40, 2, np.float32)
+    row, leaf, lost = f.visits(0, x[:40], d, np.full(40, 0.1), 256)
+    assert (lost <= 0.1 + 1e-9).all() and len(set(zip(row, leaf))) == len(row)
+    row, leaf, lost = f.visits(0, x[:40], d, np.full(40, 0.1), 3)
+    assert (np.bincount(row) <= 3).all() and (lost > 0.1).any()
+    row, _, lost = f.visits(0, x[:40], d, np.zeros(40), 256)
+    assert (np.bincount(row) == 256).all() and (lost < 1e-6).all()
+
+
 def test_copies_are_each_others_neighbours(spark):
     rows = [(f"c{i:02d}", [1.0, 2.0, 3.0]) for i in range(40)] + [("d0", [2.0, 4.0, 7.0]), ("d1", [-1.0, 0.0, 0.0])]
     got = defaultdict(list)
