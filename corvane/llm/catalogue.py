@@ -12,25 +12,25 @@ from corvane.session import written
 from corvane.sources.tables import one_per_key, table
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, min_count: int, min_share: float) -> DataFrame:
     from corvane.llm.cooccurrence import cooccurrence
 
     skills = packed.demand_skills(spark, sf_dir).select(F.transform("all_skills", lambda x: F.lower(F.trim(x))).alias("skills"))
-    return cooccurrence(written(skills, "skills"), "skills", min_count=5, min_share=0.005)
+    return cooccurrence(written(skills, "skills"), "skills", min_count, min_share)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs together in at least 5 demands and 0.5 % of N, with n_both * N >= 2.5 * n_a * n_b."""
     return (
-        _pairs(spark, sf_dir)
+        _pairs(spark, sf_dir, 5, 0.005)
         .where(F.col("n_both") * F.col("n") * 2 >= F.col("n_a") * F.col("n_b") * 5)
         .select(F.col("item_a").alias("skill_a"), F.col("item_b").alias("skill_b"))
     )
 
 
 def p2_pair_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All frequent pairs with lift, odds ratio and the z value of its logarithm."""
-    return _pairs(spark, sf_dir).withColumnsRenamed({"item_a": "skill_a", "item_b": "skill_b"})
+    """All pairs, however rare, with lift, odds ratio and the z value of its logarithm."""
+    return _pairs(spark, sf_dir, 1, 0.0).withColumnsRenamed({"item_a": "skill_a", "item_b": "skill_b"})
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -149,6 +149,34 @@ def test_cooccurrence_matches_brute_force_in_small_runs(spark):
     assert cooccurrence.cooccurrence(df.where(F.lit(False)), "s").count() == 0
 
 
+@pytest.mark.parametrize("most", [1 << 16, 20])
+def test_all_pairs_of_a_vocabulary_with_and_without_a_dictionary(spark, monkeypatch, most):
+    monkeypatch.setattr(cooccurrence, "MAX_ITEMS", most)
+    rng = random.Random(4)
+    rows = [[f"s{rng.randrange(60)}" for _ in range(rng.randint(0, 6))] for _ in range(300)] + [None, [], [None], ["s1", None, "s1"], ["é", "z", "\U0001f600", "\uffee"]]
+    df = spark.createDataFrame([(r,) for r in rows], "s array<string>")
+    sets = [s for r in rows if r and (s := {x for x in r if x is not None})]
+    single, both = Counter(x for s in sets for x in s), Counter(p for s in sets for p in itertools.combinations(sorted(s), 2))
+    got = cooccurrence.cooccurrence(df, "s", 1, 0.0, run_codes=64).collect()
+    assert len(got) == len(both) and {(r.item_a, r.item_b): (r.n_both, r.n_a, r.n_b, r.n) for r in got} == {(a, b): (c, single[a], single[b], len(sets)) for (a, b), c in both.items()}
+
+
+def test_pair_measures_has_rare_pairs(spark):
+    import os
+
+    from corvane.llm import catalogue
+    from corvane.plans import packed_queries
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no tables")
+    sets = [{x.strip().lower() for x in r[0]} for r in packed_queries.demand_skills(spark, sf).select("all_skills").collect() if r[0]]
+    both = Counter(p for s in sets for p in itertools.combinations(sorted(s), 2))
+    got = {(r.skill_a, r.skill_b): r.n_both for r in catalogue.p2_pair_measures(spark, sf).select("skill_a", "skill_b", "n_both").collect()}
+    print("pairs", len(got), "of", len(both), "frequent", sum(c >= max(5, 0.005 * len(sets)) for c in both.values()))
+    assert got == both
+
+
 def test_runs_merge_across_batches():
     import pyarrow as pa
 
