@@ -126,6 +126,10 @@ _TAG = re.compile(r"<[^<>]{1,200}>")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[$@!*|€])(?:([ .\-_·*/~])(?:[^\W_]|[$@!*|€]))(?:\1(?:[^\W_]|[$@!*|€]))+(?![^\W_])")
 _TOKEN = re.compile(r"[^\s,;:\"“”()\[\]«»]+")
 _PASSAGE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”»'’)\]])\s+|\n+")
+# A line that ends no sentence, before one that begins with a small letter (or a disguised one).
+_BROKEN = re.compile(r"(?<=[\w,])\s*\n\s*(?=[\d$@!|€]*([^\W\d_]))")
+# Further characters of a run, which the lattice reads as one arc whatever their number; masks stand for a letter each.
+_STRETCH = re.compile(rf"([^{re.escape(MASKS)}])\1{{3,}}")
 _LETTERS = re.compile(r"[a-z]+$")
 
 
@@ -140,6 +144,8 @@ def plain(text: str) -> str:
 
         text = re.sub(r"[ÃÂâ][\u0080-ɏ‐-™€™œ]{1,2}", mend, text)
     text = _TAG.sub("\n", html.unescape(text)) if "<" in text or "&" in text else text
+    if "\n" in text:
+        text = _BROKEN.sub(lambda m: " " if m.group(1).islower() else m.group(), text)
     text = unicodedata.normalize("NFKD", text.lower().replace("ß", "ss"))
     text = "".join(c for c in text if not unicodedata.combining(c) and c not in "​‌‍﻿­⁠")
     return text.translate(_ALIKE)
@@ -277,7 +283,7 @@ class Decoder:
             got = token
         elif core in self.swapped:
             got = token.replace(core, self.swapped[core])
-        elif len(core) <= 40 and any(c.isalpha() for c in core) and (not core.isalpha() or re.search(r"(.)\1\1", core)):
+        elif (len(core) <= 40 or len(_STRETCH.sub(r"\1\1\1", core)) <= 40) and any(c.isalpha() for c in core) and (not core.isalpha() or re.search(r"(.)\1\1", core)):
             parts = re.split(r"(['\-/])", core)
             if len(parts) > 1:
                 got = token.replace(core, "".join(p if len(p) < 2 else self.word(p) for p in parts))

@@ -323,6 +323,15 @@ def test_abuse_is_found(text):
     assert abuse.Scorer({}, WORDS).score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
 
 
+@pytest.mark.parametrize("text", ["You are an id" + "i" * 60 + "ot", "Let me\ngrope you", "Just show me\r\nyour body", "Let me <b>grope</b> you"])
+def test_abuse_in_stretched_words_and_across_lines_is_found(text):
+    assert abuse.Scorer({}, WORDS).score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
+
+
+def test_sentences_and_new_lines_stay_apart():
+    assert abuse.plain("You are.\nidiot\nIdiot\n- idiot\n1. x") == "you are.\nidiot\nidiot\n- idiot\n1. x"
+
+
 @pytest.mark.parametrize("text", [None, "", "  ", "The policy forbids insults.", "Moderators screen nude uploads before release.", "The dog shelter needs a breeder who knows bitches from males.", "Pay was trash", "c# and a/b testing, 3d, 5s, v2", "Lowlander applicants are warmly encouraged."])
 def test_neutral_texts_are_not(text):
     assert abuse.Scorer({}, WORDS).score(text)[0] < abuse.THRESHOLD
