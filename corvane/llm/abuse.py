@@ -1,11 +1,15 @@
 """p8: abusive, hateful or sexual passages, in plain or disguised spelling.
 
-Noisy channel: what stands in the text is what was meant, sent through a channel that swaps letters for
-digits and signs, masks them, doubles them, spaces them out or transposes two. Every suspicious token
-becomes a lattice of letters; the Viterbi path under a character trigram model is the restored word.
-The model is counted over all documents (`language_model`), with the lexicon as a prior. Restored
-passages are scored by rules that look at who is spoken to or about, so that naming such matters in
-rules, care, training or technology is not enough.
+Noisy channel. What stands in the text is what was meant, sent through a channel that swaps letters for
+digits and signs, masks, repeats, spaces or slips them. A disguised token is a lattice of letters; Viterbi
+search runs it against all words at once, ordinary ones and those of the lexicon on equal terms (a word's
+share in all documents), and against spellings that are no word (a character trigram model of all
+documents). The most probable path is what is read.
+
+Score. A restored passage becomes a string of word classes; features are relations between classes (somebody
+addressed + insult, group + is + beast, modal + harm ...), not phrases. A logistic model weighs them. Its
+weights start at PRIOR and are moved by the reviewed documents (`fit`): a bounded sample of labels, with
+rates for wrong labels, the best passage of a document standing for it.
 """
 
 from __future__ import annotations
@@ -14,128 +18,60 @@ import html
 import math
 import re
 import unicodedata
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.llm.abuse_lexicon import IDIOMS, LANGUAGES, NO_PEOPLE, PEOPLES, forms
+from corvane.session import written
+
 #: A passage from this score on makes a document a case.
 THRESHOLD = 0.5
-#: Words the language model may ship to the tasks: the most frequent ones, with a share of at least one in this many.
-MAX_WORDS = 1 << 17
-#: Weight of each lexicon word in the trigram counts, as occurrences per million words.
-PRIOR_PER_MILLION = 40
-
-# Letters that a sign may stand for, with the channel's cost in nats.
+#: A word is shipped to the tasks if its share of all words is at least one in this many, so that is also their bound.
+MAX_WORDS = 1 << 16
+#: Occurrences per million words a lexicon word has at least.
+PRIOR_PER_MILLION = 20
+#: Reviewed documents the weights are fitted on at most.
+MAX_LABELS = 20_000
+#: Chance that a reviewer marks a clean document, or passes an abusive one; precision of the prior weights.
+WRONG_YES, WRONG_NO = 0.02, 0.12
+PRECISION = 4.0
+
+# Letters that a sign may stand for.
 CHANNEL = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i", "(": "c", "<": "c", "{": "c", "¢": "c", "&": "a", "§": "s", "%": "o",
 }
 MASKS = "*#_?^~"
-SIGN_COST, MASK_COST, REPEAT_COST = 0.5, 1.5, 0.3
-
-# Words by kind. Accents are removed before matching.
-INSULTS = """idiot idiots moron morons imbecile imbeciles cretin cretins asshole assholes arsehole scumbag scumbags
-dickhead dumbass jackass wanker cunt cunts motherfucker fucker fuckers shithead dipshit halfwit dimwit douchebag slut sluts whore whores
-skank nitwit numbskull simpleton
-abruti abrutie connard connards connasse salope salopes salaud encule cretine debile enfoire petasse pouffiasse raclure 
-arschloch schwachkopf vollidiot dummkopf wichser miststuck hurensohn drecksau trottel dreckskerl missgeburt arschgeige blodmann idioten vollpfosten scheisskerl
-cabron cabrona imbecil pendejo pendeja gilipollas estupido estupida idiota idiotas malparido mamon maricon bastardo hijoputa""".split()
-WEAK_INSULTS = """bitch bitches bastard bastards retard retards prick twat tosser bellend dunce loser losers pig pigs swine trash garbage filth scum rat rats vermin cockroach cockroaches parasite parasites animal animals dog clown fool fools
-ordure ordures batard pourriture porc cochon chien chienne dechet vermine cafard nul nulle minable larve
-schlampe schwein schweine abschaum mull dreck ungeziefer ratte versager parasit parasiten niete
-zorra puta puto capullo cerdo cerda basura escoria rata perra plaga inutil asqueroso asquerosa gusano parasitos alimana""".split()
-BAD = """pathetic filthy stupid ugly disgusting worthless rotten lazy dirty dumb fat useless vile repulsive brainless retarded subhuman inferior idiotic moronic
-stinking nasty greedy criminal savage primitive degenerate trashy smelly""".split()
-DEGRADING = """vermin cockroach cockroaches parasite parasites disease diseases thief thieves animal animals criminals criminal scum filth plague trash garbage pest pests rats rat pigs leeches
-subhuman subhumans savages monkeys apes dirt cancer infection infestation burden
-vermine parasites cafards voleurs sauvages racaille ordures dechets animaux peste maladie
-ungeziefer parasiten abschaum ratten tiere diebe verbrecher pest krankheit untermenschen dreck schmarotzer seuche
-plaga parasitos escoria basura ratas animales ladrones alimanas peste criminales bichos enfermedad""".split()
-GROUPS = """people foreigners foreigner immigrants immigrant migrants refugees women woman men blacks whites jews muslims christians arabs asians africans gays lesbians homosexuals
-disabled cripples elderly old gypsies roma race kind lot folk ones applicants outsiders natives
-etrangers immigres femmes hommes juifs musulmans arabes noirs vieux handicapes homosexuels gens
-auslander fremde fluchtlinge frauen manner juden muslime alte behinderte schwule leute menschen
-extranjeros inmigrantes mujeres hombres judios musulmanes negros viejos discapacitados gente""".split()
-OTHER = """you your yours are show send naked nude pictures photos tits sex with me sleep strip knees tonight sexy hotel room grope screw shut up drop dead rot hell burn ditch teeth choke
-alive die kill beaten beat hurt deported locked hired shift contract gueule ferme callate fresse halt photo nues nue fotos desnuda nacktbilder schick envoie mandame mueras merites
-fuck fucking shit bullshit boobs ass cock dick pussy cum blowjob horny kiss undress bed shag crawl hole get lost belong building waste skin copier job raise company alive wage teeth piece smash crush punch strangle piss""".split()
-LEXICON = sorted({*INSULTS, *WEAK_INSULTS, *BAD, *DEGRADING, *GROUPS, *OTHER})
-
-
-def _any(words) -> str:
-    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
-
-
-_I, _W, _B, _D, _G = _any(INSULTS), _any(WEAK_INSULTS), _any(BAD), _any(DEGRADING), _any(GROUPS)
-_FAR = r"[^.!?\n]{0,60}?"
-_NEAR = r"(?: [\w'-]+){0,4}? "
-_FATE = r"(?:deported|locked (?:away|up)|kept (?:off|out)|never be (?:hired|employed)|banned|exterminated|wiped out|shot|gassed|sterili[sz]ed|no wage|thrown out|not belong|die|disappear|burn)"
-
-# Rules over restored passages, with the kind and weight of each.
-RULES = [
-    ("insult", 0.9, rf"\b{_I}\b(?![- ]proof)"),
-    ("insult", 0.9, rf"\b(?:you|your|thou|yer)\b(?:(?: are| re)? (?:an?|the|such an?|nothing but|absolute|total|little|old|complete|real))*(?: {_B})* (?:{_W})\b"),
-    ("insult", 0.9, rf"\b{_B} (?:piece of (?:trash|garbage|shit|crap|filth|dirt|dung)|{_W})\b"),
-    ("insult", 0.9, r"\bpiece of (?:shit|crap|filth)\b"),
-    ("insult", 0.8, rf"\b(?:is|are|was|re) (?:an? |the |such an? |just )?{_B} (?:{_W}|person|man|woman|human|excuse)\b"),
-    ("insult", 0.9, r"\b(?:fuck|screw|piss) (?:you|off|him|her|them)\b|\b(?:fucking|motherfucking)\b"),
-    ("insult", 0.9, r"\bwaste of (?:skin|space|oxygen|air)\b"),
-    ("insult", 0.8, rf"\b(?:{_B}|{_W}) from head to toe\b"),
-    ("hate", 0.9, rf"\bi would (?:rather|sooner) [^.!?\n]{{0,80}}\b(?:than|before) [^.!?\n]{{0,40}}\b(?:{_B}|{_D})\b"),
-    ("insult", 0.8, r"\bwhat an? (?:[\w'-]+ )?(?:loser|pig|clown|fool|animal|rat|disgrace)\b"),
-    ("threat", 0.9, r"\b(?:shut up|shut your (?:mouth|trap)|get lost|crawl back|go away)\b" + _FAR + rf"\b(?:you|or i|or we|people like you|hole|{_W})\b"),
-    ("threat", 0.9, r"\b(?:drop dead|rot in hell|go to hell|burn in hell|go die|kill yourself|choke on|end up in a ditch|get run over|lose your teeth|burn with this)\b"),
-    ("threat", 0.9, r"\bshould (?:not be alive|be dead|be shot|die|drop dead|rot|burn)\b|\b(?:not deserve to live|deserves? to die)\b"),
-    ("threat", 0.9, r"\bi (?:ll|will|am going to|m going to|hope) (?:you |make sure you |make you |see you )*(?:get )?(?:kill|beat(?:en)?|hurt|smash|crush|punch|strangle|stab|shoot|burn|break|die|dead|suffer|bleed|choke|rot)\b"),
-    ("threat", 0.8, r"\bor (?:i|we) (?:will|ll|shall) (?:make sure|kill|beat|hurt|find|break|smash|cut)\b"),
-    ("hate", 0.9, rf"\b(?:people|{_G}|every [\w-]+(?: [\w-]+)? here|they(?: all)?|those [\w-]+|all [\w-]+|these [\w-]+|that (?:race|kind|lot|tribe|people))(?: here)? (?:is|are|re)(?: all| just| only| nothing but| born| like| a| an| the| too| so| such| dirty| filthy)*(?: {_B})* ?{_D}\b"),
-    ("hate", 0.9, rf"\b(?:people|{_G}|every [\w-]+(?: [\w-]+)? here|they(?: all)?|those [\w-]+|all [\w-]+|that (?:race|kind|lot|tribe))(?: here)? (?:is|are|re)(?: all| just| too| so| born)*(?: {_B})+\b" + _FAR + rf"(?:{_FATE}|\btoo\b|\bread\b|\bwork\b|should|must|ought|deserve)"),
-    ("hate", 0.9, rf"\b(?:people|{_G}|they(?: all)?|every [\w-]+(?: [\w-]+)? here)\b" + _FAR + rf"\b(?:should|must|ought to|deserve|shall)\b" + _NEAR.replace("{0,4}", "{0,3}") + rf"?{_FATE}\b"),
-    ("hate", 0.9, rf"\bthat race is\b|\bno [\w-]+(?: [\w-]+)? (?:applicants|people|candidates)(?: please)?,? (?:that|this|their|they|because)\b"),
-    ("hate", 0.9, rf"\bwhy hire [\w-]+(?: [\w-]+)?\b" + r"[^\n]{0,80}?" + rf"\b(?:{_B}|{_D})\b"),
-    ("hate", 0.9, rf"\b(?:les|ces|tous les) [\w-]+(?: [\w-]+)? sont (?:tous )?(?:de la |des |une |un |la |trop )?(?:{_D}|betes|stupides|sales|paresseux|inferieurs)\b"),
-    ("hate", 0.9, rf"\b(?:alle|diese|die) [\w-]+(?: [\w-]+)? sind (?:alle |nur |eine? |zu )?(?:{_D}|dumm|dreckig|faul|minderwertig)\b"),
-    ("hate", 0.9, rf"\b(?:los|las|esos|todos los) [\w-]+(?: [\w-]+)? son (?:todos )?(?:una? |unos |la |muy )?(?:{_D}|tontos|sucios|vagos|inferiores)\b"),
-    ("sexual", 0.95, r"\b(?:show|send|give|mail|text) (?:me |us )?(?:some |more |a few )?(?:of )?(?:your )?(?:tits|boobs|breasts|ass|cock|dick|pussy|body|nude|nudes|naked|underwear)\b"),
-    ("sexual", 0.95, r"\b(?:sex|sleep|bed|shag|fuck|night) with (?:me|him|us)\b|\bsleep with\b|\bget on your knees\b|\bon your knees for\b|\bblow ?jobs?\b|\bsuck (?:my|his|me)\b|\bcome to (?:my|his) (?:hotel room|bed|place)\b"),
-    ("sexual", 0.9, r"\b(?:let me|want to|going to|wants to|gets to|like to) (?:grope|touch|lick|fuck|screw|shag|bang|undress|strip|fondle|spank) (?:you|her|him)\b"),
-    ("sexual", 0.9, r"\bscrew (?:her|him|you)\b|\b(?:naked|nude) (?:pictures|photos|pics|selfies)\b" + _FAR + r"\b(?:raise|job|yours|contract|sign|promise|interview|hired|me)\b|\bstrip (?:for|tonight|naked)\b|\b(?:and|to) strip\b|\btonight sexy\b|\bwear something tight\b"),
-    ("sexual", 0.9, r"\bphotos? (?:de toi )?nue?s?\b|\bcouche(?:r|z)? avec (?:moi|lui)\b|\bseins\b|\bsuce(?:r|z)?[ -]moi\b|\ba poil\b"),
-    ("sexual", 0.9, r"\bnacktbild(?:er)?\b|\bnacktfotos?\b|\bschlaf(?:en)? (?:sie )?mit mir\b|\btitten\b|\bzieh dich aus\b|\bblas mir\b"),
-    ("sexual", 0.9, r"\bfotos? (?:tuyas )?desnud[ao]s?\b|\bacuestate conmigo\b|\btetas\b|\bchupame\b|\bdesnudate\b"),
-    ("insult", 0.9, rf"\b(?:ferme(?:z)? (?:ta|la) (?:gueule|bouche)|ta gueule|va te faire|nique ta|casse[ -]toi)\b"),
-    ("insult", 0.9, rf"\b(?:tu es|t es|vous etes|espece de|quel|quelle)(?: un| une| de| la| le| qu un)*(?: (?:sale|gros|grosse|petit|vrai|pauvre))* (?:{_W}|nullite|merde)\b"),
-    ("threat", 0.9, r"\bne merites? pas de vivre\b|\bcreve[rz]?\b|\bva mourir\b|\bje vais te (?:tuer|frapper|casser)\b|\bva bruler\b"),
-    ("insult", 0.9, r"\bhalt(?:e)? (?:die|deine) (?:fresse|klappe|schnauze)\b|\bverpiss dich\b|\bfick dich\b|\bleck mich\b"),
-    ("insult", 0.9, rf"\b(?:du|ihr)(?: bist| seid)?(?: ein| eine| der| die| das| nur| doch| elender| dummes| dreckige| dreckiges| blode| bloder)* (?:{_W})\b"),
-    ("threat", 0.9, r"\bgehorst (?:auf den mull|eingesperrt|erschossen|weggesperrt)\b|\bverrecke?\b|\bich (?:bringe|schlage|mache) dich\b|\bverdienst (?:es )?nicht zu leben\b"),
-    ("insult", 0.9, rf"\bcalla(?:te|os)\b" + _FAR + rf"\b(?:{_I}|{_W}|hij[oa] de puta)\b|\bhij[oa]s? de puta\b|\bvete a la mierda\b|\bque te jodan\b"),
-    ("insult", 0.9, rf"\b(?:eres|sois)(?: un| una| unos| la| el)*(?: pedazo de| maldit[oa]| puro)* (?:{_W}|mierda)\b|\bbasura humana\b|\bpedazo de (?:mierda|basura)\b"),
-    ("threat", 0.9, r"\bojala te mueras\b|\bmuerete\b|\bte voy a (?:matar|pegar|romper)\b|\bno mereces vivir\b"),
-]
-
-# Passages that name such matters without doing them.
-NEUTRAL = re.compile(
-    r"\b(?:polic(?:y|ies)|prohibit\w*|forbid\w*|harass\w*|prevent\w*|training|course|report(?:s|ing)? of|moderat\w*|filter\w*|detect\w*|classif\w*|screen(?:s|ing)?|education|complain\w*|guidelines?|code of conduct|handbook|reglamento|prohibe|acoso|charte|interdit|harcelement|richtlinie|verbietet|belastigung|seminar)\b"
-)
-
-_TAG = re.compile(r"<[^<>]{1,200}>")
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[$@!*|€])(?:([ .\-_·*/~])(?:[^\W_]|[$@!*|€]))(?:\1(?:[^\W_]|[$@!*|€]))+(?![^\W_])")
-_TOKEN = re.compile(r"[^\s,;:\"“”()\[\]«»]+")
+#: Costs of the channel in nats. Masks are put on words that offend, so there they are cheap.
+SIGN, REPEAT, MASK_OFFENSIVE, MASK, SILENT, SLIP = 0.5, 0.3, 0.7, 4.0, 1.0, 7.0
+#: Nats of a digit or sign that stands for itself, and of the step outside the vocabulary if nothing is known of it.
+DIGIT, OTHER_SIGN = 2.3, 3.0
+
+_TAG = re.compile(r"<[^<>]*>")
+_SIGN = "[^\\W_]|[$@!*|€]"
+_SPACED = re.compile(rf"(?<![^\W_])(?:{_SIGN})(?:([ .\-_·*/~!])\1*(?:{_SIGN}))(?:\1+(?:{_SIGN}))+(?![^\W_])")
 _PASSAGE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”»'’)\]])\s+|\n+")
 # A line that ends no sentence, before one that begins with a small letter (or a disguised one).
 _BROKEN = re.compile(r"(?<=[\w,])\s*\n\s*(?=[\d$@!|€]*([^\W\d_]))")
-# Further characters of a run, which the lattice reads as one arc whatever their number; masks stand for a letter each.
-_STRETCH = re.compile(rf"([^{re.escape(MASKS)}])\1{{3,}}")
-_LETTERS = re.compile(r"[a-z]+$")
+_WORDS = re.compile(r"[a-z]+")
+_MARKED = re.compile(r"[a-z]+(?:-proof)?|[,;:]| - ")
+_EDGE = ".,;:!?'\"-…/\\"
+_ALIKE = str.maketrans({
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t",
+    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "’": "'", "‘": "'", "\u00a0": " ", "\u202f": " ",
+    **dict.fromkeys("\u200b\u200c\u200d\u2060\ufeff\u00ad", ""), **{chr(c): "" for c in range(0x300, 0x370)},
+})
 
 
 def plain(text: str) -> str:
     """Lower case without markup, entities, accents, zero-width characters and doubly encoded letters."""
-    if "Ã" in text or "â€" in text or "Â" in text:
+    if "Ã" in text or "â" in text or "Â" in text:
         def mend(m: re.Match) -> str:
             try:
                 return m.group().encode("cp1252").decode("utf-8")
@@ -143,76 +79,83 @@ def plain(text: str) -> str:
                 return m.group()
 
         text = re.sub(r"[ÃÂâ][\u0080-ɏ‐-™€™œ]{1,2}", mend, text)
-    text = _TAG.sub("\n", html.unescape(text)) if "<" in text or "&" in text else text
+    if "<" in text or "&" in text:
+        text = _TAG.sub("\n", html.unescape(text))
     if "\n" in text:
         text = _BROKEN.sub(lambda m: " " if m.group(1).islower() else m.group(), text)
-    text = unicodedata.normalize("NFKD", text.lower().replace("ß", "ss"))
-    text = "".join(c for c in text if not unicodedata.combining(c) and c not in "​‌‍﻿­⁠")
-    return text.translate(_ALIKE)
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text.replace("ß", "ss")).translate(_ALIKE)
+    return text
 
 
-_ALIKE = str.maketrans({
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t",
-    "α": "a", "ε": "e", "ο": "o", "ρ": "p", "ι": "i", "ν": "v", "’": "'", "‘": "'", " ": " ", " ": " ",
-})
+_FORMS = forms()
+#: Classes without which no feature can hold, by word; and the words whose masking is cheap.
+_HOT = {w for table in _FORMS.values() for w, k in table.items() if k in "IWBSsNVFEK"}
+_OFFENSIVE = {w for table in _FORMS.values() for w, k in table.items() if k in "ISN"}
+#: Parts of idioms can be disguised as well.
+_IDIOM_WORDS = {w for kinds in IDIOMS.values() for many in kinds.values() for x in many for w in re.findall(r"[a-z]{4,}", re.sub(r"\\w|\(\?[:=]", " ", x))}
+LEXICON = sorted({w for table in _FORMS.values() for w in table if len(w) > 2} | _IDIOM_WORDS)
 
 
 class Decoder:
-    """Viterbi decoding of disguised tokens under a character trigram model."""
-
-    def __init__(self, trigrams: dict[str, float], words: set[str]):
-        self.words = words | set(LEXICON)
-        counts: dict[str, float] = defaultdict(float)
-        for t, c in trigrams.items():
-            counts[t] += c
-        total = sum(counts.values()) or 1.0
-        prior = max(1.0, total * PRIOR_PER_MILLION / 6e6)
-        for w in LEXICON:
-            w = "^^" + w + "$"
-            for k in range(len(w) - 2):
-                counts[w[k : k + 3]] += prior
+    """The most probable words behind disguised tokens."""
+
+    def __init__(self, trigrams: dict[str, float], words: dict[str, float]):
+        """trigrams and words: counts over all documents (words: those above the bound)."""
+        total = max(1.0, sum(c for t, c in trigrams.items() if t.startswith("^^")))
+        prior = PRIOR_PER_MILLION * 1e-6
+        share = {w: c / total for w, c in words.items()}
+        outside = max(1e-3, 1 - sum(share.values()))
         context: dict[str, float] = defaultdict(float)
-        for t, c in counts.items():
+        for t, c in trigrams.items():
             context[t[:2]] += c
-        self.log = {t: math.log((c + 0.01) / (context[t[:2]] + 0.3)) for t, c in counts.items()}
+        self.log = {t: math.log((c + 0.01) / (context[t[:2]] + 0.3)) for t, c in trigrams.items()}
         self.floor = {x: math.log(0.01 / (c + 0.3)) for x, c in context.items()}
-        self.swapped: dict[str, str] = {}
+        self.outside = math.log(outside)
         for w in LEXICON:
-            slips = [w[:k] + w[k + 1] + w[k] + w[k + 2 :] for k in range(1, len(w) - 1)] + [w[:k] + w[k] + w[k:] for k in range(len(w))]
-            if len(w) > 5:
-                slips += [w[:k] + w[k + 1 :] for k in range(1, len(w))]
-            if len(w) > 4:
-                slips += [w[:k] + c + w[k + 1 :] for k in range(1, len(w)) for c in "abcdefghijklmnopqrstuvwxyz" if c != w[k]]
-            for v in slips if len(w) > 4 else []:
-                if v not in self.words:
-                    self.swapped.setdefault(v, w)
-        self.trie: dict = {}
+            share[w] = max(share.get(w, 0.0), prior)
+        self.share = {w: math.log(s) for w, s in share.items()}
+        self.sorted = sorted(self.share)
+        self.near: dict[str, list[str]] = defaultdict(list)
         for w in LEXICON:
-            node = self.trie
-            for c in w:
-                node = node.setdefault(c, {})
-            node["$"] = w
+            if len(w) > 3 and w in _HOT:
+                for v in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
+                    self.near[v].append(w)
         self.memo: dict[str, str] = {}
 
-    def _score(self, a: str, b: str, c: str) -> float:
-        got = self.log.get(a + b + c)
-        return got if got is not None else self.floor.get(a + b, -7.0)
+    def spelled(self, token: str) -> float:
+        """Log probability of a token that is no known word, letter by letter."""
+        a, b, out = "^", "^", self.outside
+        for c in token:
+            if c.isalpha():
+                got = self.log.get(a + b + c)
+                out += got if got is not None else self.floor.get(a + b, -5.0)
+            else:
+                out -= DIGIT if c.isdigit() else OTHER_SIGN
+            a, b = b, c
+        return out + (self.log.get(a + b + "$") or self.floor.get(a + b, -3.0))
 
-    def _lattice(self, token: str) -> list[list[tuple[str, float]]]:
-        """Arcs (letters, cost) of every run of equal characters."""
+    def itself(self, token: str) -> float:
+        got = self.share.get(token)
+        return got if got is not None else self.spelled(token)
+
+    @staticmethod
+    def lattice(token: str) -> list[list[tuple[str, float]]]:
+        """Arcs (letters, cost) of every run of equal characters; "*" stands for any letter."""
         arcs, k = [], 0
         while k < len(token):
             c, n = token[k], 1
             while k + n < len(token) and token[k + n] == c:
                 n += 1
-            letters = c if c.isalpha() else CHANNEL.get(c)
-            cost = 0.0 if c.isalpha() else SIGN_COST
+            letters = c if c.isalpha() else CHANNEL.get(c, "")
+            inside = 0 < k and k + n < len(token)
             if c in MASKS:
-                for _ in range(n):
-                    arcs.append([(x, MASK_COST) for x in "abcdefghijklmnopqrstuvwxyz"])
-            elif letters is None:
-                arcs.append([("", 1.0)])
+                here = [("*" * n, 0.0)]
+                if inside:
+                    here.append(("", SILENT))
             else:
+                cost = 0.0 if c.isalpha() else SIGN
                 here = []
                 for x in letters:
                     if n < 3:
@@ -220,163 +163,326 @@ class Decoder:
                         if n == 2:
                             here.append((x, cost + 2.0))
                     else:
-                        here += [(x, cost + REPEAT_COST), (x * 2, cost + REPEAT_COST)]
-                arcs.append(here)
+                        here += [(x, cost + REPEAT), (x * 2, cost + REPEAT)]
+                if not c.isalpha():
+                    here.append(("", SILENT if inside or not letters else 2 * SILENT))
+            arcs.append(here)
             k += n
         return arcs
 
-    def _listed(self, lattice: list[list[tuple[str, float]]]) -> str | None:
-        """The cheapest word of the lexicon that the lattice can spell."""
-        states: list[tuple[float, dict]] = [(0.0, self.trie)]
-        for arcs in lattice:
-            following: dict[int, tuple[float, dict]] = {}
-            for cost, node in states:
+    def words_of(self, token: str) -> list[tuple[float, str]]:
+        """(channel cost, word) of the words the lattice of a token can spell, masks counted."""
+        states: dict[str, tuple[float, int]] = {"": (0.0, 0)}
+        ws = self.sorted
+        for arcs in self.lattice(token):
+            following: dict[str, tuple[float, int]] = {}
+            for prefix, (cost, masks) in states.items():
                 for letters, more in arcs:
-                    at = node
+                    heads = [prefix]
                     for c in letters:
-                        at = at.get(c)
-                        if at is None:
-                            break
-                    if at is not None and (id(at) not in following or cost + more < following[id(at)][0]):
-                        following[id(at)] = (cost + more, at)
-            states = list(following.values())
+                        grown = []
+                        for h in heads:
+                            for x in "abcdefghijklmnopqrstuvwxyz" if c == "*" else c:
+                                p = h + x
+                                at = bisect_left(ws, p)
+                                if at < len(ws) and ws[at].startswith(p):
+                                    grown.append(p)
+                        heads = grown
+                    for h in heads:
+                        new = (cost + more, masks + letters.count("*"))
+                        if h not in following or new < following[h]:
+                            following[h] = new
+            states = following
             if not states:
-                return None
-        ends = [(cost, node["$"]) for cost, node in states if "$" in node]
-        return min(ends)[1] if ends else None
+                return []
+        return [(cost + masks * (MASK_OFFENSIVE if p in _OFFENSIVE else MASK), p) for p, (cost, masks) in states.items() if p in self.share]
 
     def decode(self, token: str) -> str:
-        """The most probable word behind a token: Viterbi over the lexicon's paths, then over all letters."""
-        listed = self._listed(self._lattice(token))
-        if listed is not None:
-            return listed
-        states: dict[tuple[str, str], tuple[float, str]] = {("^", "^"): (0.0, "")}
-        for arcs in self._lattice(token):
-            following: dict[tuple[str, str], tuple[float, str]] = {}
-            for (a, b), (score, out) in states.items():
-                for letters, cost in arcs:
-                    x, y, s = a, b, score - cost
-                    for c in letters:
-                        s += self._score(x, y, c)
-                        x, y = y, c
-                    old = following.get((x, y))
-                    if old is None or s > old[0]:
-                        following[(x, y)] = (s, out + letters)
-            states = following
-        known, best = None, None
-        for (a, b), (score, out) in states.items():
-            score += self._score(a, b, "$")
-            if best is None or score > best[0]:
-                best = (score, out)
-            if out in self.words and (known is None or score > known[0]):
-                known = (score, out)
-        return known[1] if known else best[1] if best else token
+        """The most probable reading of a token: a word through the channel, or the token itself."""
+        best = (self.itself(token), token)
+        for cost, w in self.words_of(token):
+            best = max(best, (self.share[w] - cost + 1e-3 * self.spelled(w), w))
+        return best[1]
+
+    def slip(self, token: str) -> str:
+        """The most probable word one slip away from an unknown token, or the token."""
+        reach = {v for d in {token, *(token[:k] + token[k + 1 :] for k in range(len(token)))} for v in self.near.get(d, ())}
+        if not reach:
+            return token
+        best, left = (self.spelled(token), token), "abcdefghijklmnopqrstuvwxyz"
+        rivals = {token[:k] + token[k + 1 :] for k in range(1, len(token))} | {token[:k] + c + token[k + j :] for k in range(1, len(token) + 1) for c in left for j in (0, 1)}
+        rivals |= {token[:k] + token[k + 1] + token[k] + token[k + 2 :] for k in range(1, len(token) - 1)}
+        for w in rivals:
+            got = self.share.get(w)
+            if got is not None:
+                turned = sorted(w) == sorted(token) or (len(w) != len(token) and len(set(w)) == len(set(token)))
+                best = max(best, (got - (SLIP - 2 if turned else SLIP), w))
+        return best[1]
 
     def word(self, token: str) -> str:
-        """What a token means: itself, or what its lattice decodes to if that is a word."""
+        """What a token means: itself, or the most probable word behind it."""
         got = self.memo.get(token)
         if got is not None:
             return got
-        core = token.strip(".,;:!?'\"-…/\\")
-        got = token
-        if core in self.words or core.isdigit() or len(core) < 3:
-            got = token
-        elif core in self.swapped:
-            got = token.replace(core, self.swapped[core])
-        elif (len(core) <= 40 or len(_STRETCH.sub(r"\1\1\1", core)) <= 40) and any(c.isalpha() for c in core) and (not core.isalpha() or re.search(r"(.)\1\1", core)):
-            parts = re.split(r"(['\-/])", core)
-            if len(parts) > 1:
-                got = token.replace(core, "".join(p if len(p) < 2 else self.word(p) for p in parts))
-                if got == token and "-" in core and (d := self.decode(core.replace("-", ""))) in self.words:
-                    got = token.replace(core, d)
-            else:
-                out = self.decode(core)
-                if out in self.words:
-                    got = token.replace(core, out)
+        core, got = token.strip(_EDGE), token
+        if core.isalpha():
+            if core not in self.share and len(core) > 3:
+                out = self.decode(core) if re.search(r"(.)\1\1", core) else core
+                if out == core:
+                    out = self.slip(core)
+                got = token.replace(core, out)
+        elif len(core) > 2 and any(c.isalpha() for c in core):
+            out = self.decode(core)
+            if out == core and (parts := re.split(r"(['\-/.])", core))[1:]:
+                out = "".join(p if len(p) < 2 else self.word(p) for p in parts)
+            got = token.replace(core, out) if out != core else token
         if len(self.memo) < 1 << 18:
             self.memo[token] = got
         return got
 
-    def restore(self, text: str) -> str:
-        text = plain(text)
-
-        def join(m: re.Match) -> str:
-            letters = m.group().replace(m.group(1), "") if m.group(1) != "*" else m.group()[::2]
-            for head, tail in ((0, 0), (1, 0), (0, 1), (1, 1)):  # a word of one letter may stand beside
-                core = letters[head : len(letters) - tail]
-                out = core if core in self.words else self.decode(core)
-                if len(core) > 2 and out in self.words:
-                    return " ".join(x for x in (letters[:head], out, letters[len(letters) - tail :] if tail else "") if x)
-            return m.group()
-
-        text = _SPACED.sub(join, text)
-        return _TOKEN.sub(lambda m: self.word(m.group()), text)
+    def _joined(self, m: re.Match) -> str:
+        letters = re.sub(re.escape(m.group(1)) + "+", "", m.group()) if m.group(1) not in "*!" else re.sub(re.escape(m.group(1)) + "+", "", m.group())
+        for head, tail in ((0, 0), (1, 0), (0, 1), (1, 1)):  # a word of one letter may stand beside
+            core = letters[head : len(letters) - tail]
+            out = core if core in self.share else self.decode(core)
+            if len(core) > 2 and out in self.share:
+                return " ".join(x for x in (letters[:head], out, letters[len(letters) - tail :] if tail else "") if x)
+        return m.group()
+
+    def restore(self, passage: str) -> str:
+        """A plain passage with its disguised tokens replaced by what they mean."""
+        tokens = passage.split()
+        if sum(len(t) == 1 for t in tokens) > 2:
+            tokens = _SPACED.sub(self._joined, " ".join(tokens)).split()
+        memo, word = self.memo, self.word
+        return " ".join([memo.get(t) or word(t) for t in tokens])
+
+
+_ANY = "[^,IWKT]"
+#: Features: name, prior weight, pattern over word classes. A span's Q words (context) weigh against it.
+FEATURES = [
+    ("insult", 3.2, r"I"),
+    ("insult_used", 1.9, r"(?:[AZBYyLxM,]|^)I|I,?$|I[,C]"),
+    ("addressed_insult", 2.7, r"[YK]" + _ANY + r"{0,4}I|I,?Y|ZA{1,2}" + _ANY + r"{0,2}I|[HPGpL]" + _ANY + r"{0,3}CA{0,3}B{0,3}I"),
+    ("addressed_name", 5.4, r"YC[AC]{0,3}B{0,3}A?W(?!\.)|Y[AC]{0,2}B{1,3}W|A?B{1,3}W,?$|CYA{1,2}B{0,3}W(?!\.)|W,?Y(?![CR])|,YB{0,2}W"),
+    ("exclaimed_name", 5.0, r"ZA{1,2}B{0,3}[WB]|ZB?W"),
+    ("person_is_name", 5.0, r"[HP][^,IWT]{0,4}CA{0,3}B{0,3}A{0,2}W(?!\.)|[HP]C?A{1,2}B{1,3}W"),
+    ("you_are_bad", 5.0, r"Y[CA]{1,4}B(?!\.)|Y[AC]{0,2}BB|CYA{0,2}B(?!\.)"),
+    ("person_is_bad", 2.6, r"[HP][^,IWT]{0,2}CA{0,3}B|[HP]C?A{1,2}BB"),
+    ("group_is_name", 5.8, r"[Gg][^,IWT]{0,3}CA{0,5}B{0,3}W|p[^,IWT]{0,2}CA{0,5}B{0,3}W|(?:A|L)[Gg]A{0,2}W"),
+    ("all_are_name", 3.4, r"L[^,IWTYH]{1,2}CA{0,5}B{0,3}W"),
+    ("group_is_bad", 4.8, r"[Gg][^,IWT]{0,3}CA{0,4}B|BA?[Gg]"),
+    ("all_are_bad", 3.2, r"p[^,IWT]{0,2}CA{0,4}B|L[^,IWTYH]{1,3}CA{0,4}B"),
+    ("name_like_group", 5.0, r"[WB]A?lA{0,2}" + _ANY + r"{0,2}[GgpYH]|B[^,]{0,3}lA{0,2}" + _ANY + r"{0,2}[Ggp]|W" + _ANY + r"{0,3}lA?[GgY]"),
+    ("group_out", 4.4, r"[Gg][^,]{0,6}R[^,]{0,3}E|[Gg][^,]{0,2}E|E[^,]{0,3}A?[Gg]|n[Gg]p?"),
+    ("out", 1.4, r"E"),
+    ("out_should", 1.0, r"R[^,]{0,4}E"),
+    ("threat", 5.4, r"M[^,IWT]{0,2}R[^,T]{0,6}[VF][^,T]{0,2}[YyHP]|M[^,IWT]{0,2}R[^,T]{0,3}Y[^,T]{0,2}[VFI]|Y[CR]?R[^,T]{0,2}F|MVY|MR?YV"),
+    ("wished_harm", 5.2, r"hA?[YHPGgp][^,T]{0,4}[FVE]"),
+    ("should_suffer", 4.8, r"[YHPGgpLWI][^,T]{0,5}R[^,T]{0,3}(?:F|CV|CAV)|[YHPGgpLWI][^,T]{0,5}CR?V|R[^,T]{0,1}V[^,T]{0,2}[PGgY]|[Yp]lY[^,]{0,3}[RC]{0,2}[^,]{0,2}F"),
+    ("dismissed", 5.0, r"K"),
+    ("someone_or_else", 1.0, r"K[^I]{0,8}[IWB]|[IW][^K]{0,8}K"),
+    ("sexual_toward", 5.4, r"S[OA]{0,2}[MYHP]|J[^,]{0,2}S|[MYH]S|S[^,T]{0,2}O[MHY]|MRSY|[YH][^,T]{0,2}RS"),
+    ("sexual_act", 2.6, r"S"),
+    ("asks_nudity", 5.4, r"J[^,]{0,4}N|N[^,]{0,5}J[MY]|[yM]A?B?N|Y[^,]{0,2}N"),
+    ("nudity", 2.0, r"N"),
+    ("suggestive", 1.4, r"s"),
+    ("suggestive_toward", 3.2, r"J[^,]{0,4}s|s[^,]{0,3}O?M|sx?s,?s|y[^,]{0,4}s|[YM][^,]{0,6}s[^,]{0,5}s|Y[^,]{0,2}s[^,]{0,3}[OM]"),
+    ("explicit", 2.4, r"[SN][^T]{0,10}[SN]"),
+]
+#: Prior weight of no feature at all, and of a context word beside a feature.
+BIAS, CONTEXT = -4.0, -3.4
+PRIOR = np.array([BIAS, *[w for _, w, _ in FEATURES], CONTEXT])
+#: Classes of which a feature needs one.
+_NEEDS = {"insult": "I", "insult_used": "I", "addressed_insult": "I", "addressed_name": "W", "exclaimed_name": "WB", "person_is_name": "W", "group_is_name": "W", "all_are_name": "W", "name_like_group": "WB", "threat": "VF", "wished_harm": "VFE", "should_suffer": "VF", "dismissed": "K", "someone_or_else": "K", "sexual_toward": "S", "sexual_act": "S", "explicit": "SN", "asks_nudity": "N", "nudity": "N", "suggestive": "s", "suggestive_toward": "s"}
+_COMPILED = [(_NEEDS.get(n, "B" if n.endswith("bad") else "E"), re.compile(p)) for n, _, p in FEATURES]
+_KINDS = {"insult": ("insult", "addressed", "exclaimed", "person", "you_", "dismissed", "someone"), "hate": ("group", "all_", "name_like", "out"), "threat": ("threat", "wished", "should"), "sexual": ("sexual", "asks", "nudity", "suggestive", "explicit")}
+_KIND_OF = [next(k for k, heads in _KINDS.items() if n.startswith(heads)) for n, _, _ in FEATURES]
+_PROXY = {lang: [(kind, re.compile(r"(?<![a-z])(?:" + "|".join(many) + r")(?![a-z])")) for kind, many in kinds.items()] for lang, kinds in IDIOMS.items()}
+_STANDIN = {k: f"zq{k.lower()}{'u' if k.isupper() else 'l'}" for k in "IWBSsNVFEKAZ"}
+_HOT_CLASSES = frozenset("IWBSsNVFEK")
+
+
+def _anchors(lang: str) -> tuple[frozenset, tuple[str, ...]]:
+    """Words, and beginnings of words, one of which stands in every idiom of a class that counts."""
+    whole, heads = set(), set()
+    for kind, many in IDIOMS[lang].items():
+        for idiom in many if kind in _HOT_CLASSES else ():
+            parts = re.findall(r"[a-z]+(?:\\w)?[?]?", re.sub(r"\(\?[=][^)]*\)+", "", idiom))
+            firm = [x for x in parts if x.strip("?") not in _COMMON] or parts
+            for x in firm:
+                (heads if x.endswith("\\w") else whole).add(x.removesuffix("\\w").rstrip("?"))
+                whole.add(x.removesuffix("\\w").rstrip("?")[:-1] if x.endswith("?") else "")
+    return frozenset(w for w in whole if len(w) > 1), tuple(sorted(h for h in heads if h))
+
+
+#: Words of idioms too common to look for, where another stands in the idiom.
+_COMMON = frozenset("a in to w your you with the off out on not get have had having me him her be been being to in my a of from up where is no over us know go by s die deine dein das auf den dich mir sie nie zu ich nicht la ta ton le les un de se que el tu te va vous faire je sais ou pas al il faut toi con para por no mi".split())
+_ANCHORS = {lang: _anchors(lang) for lang in LANGUAGES}
+for _k, _w in _STANDIN.items():
+    for _table in _FORMS.values():
+        _table[_w] = _k
+
+
+def classes(passage: str, lang: str) -> str:
+    """The word classes of a restored passage in one language; "." is any other word, "," a break."""
+    for kind, pattern in _PROXY[lang]:
+        if pattern.search(passage):
+            passage = pattern.sub(f" {_STANDIN[kind]} ", passage)
+    table, ends, out = _FORMS[lang], PEOPLES[lang], []
+    for w in _MARKED.findall(passage):
+        kind = table.get(w)
+        if kind is None:
+            kind = "," if not w[0].isalpha() else "g" if len(w) > 5 and w.endswith(ends) and w not in NO_PEOPLE else "."
+        out.append(kind)
+    return "".join(out)
+
+
+def features(line: str) -> np.ndarray:
+    """1 (for the bias), whether each feature holds, and how many (up to 3) have a context word beside them."""
+    x = np.zeros(len(PRIOR))
+    x[0] = 1
+    for k, (need, pattern) in enumerate(_COMPILED):
+        if not any(c in line for c in need):
+            continue
+        m = pattern.search(line)
+        if m:
+            x[k + 1] = 1
+            before = line[: m.start()].rsplit(",", 1)[-1][-8:]
+            after = line[m.end() :].split(",", 1)[0][:5]
+            x[-1] += "Q" in before or "Q" in after or "Q" in m.group()
+    x[-1] = min(3, x[-1])
+    return x
 
 
 class Scorer:
-    def __init__(self, trigrams: dict[str, float], words: set[str]):
+    def __init__(self, trigrams: dict[str, float], words: dict[str, float], weights: np.ndarray = PRIOR):
         self.decoder = Decoder(trigrams, words)
-        self.rules = [(kind, weight, re.compile(rule)) for kind, weight, rule in RULES]
-        self.memo: dict[str, tuple[float, str]] = {}
+        self.weights = weights
+        self.hot: dict[str, int] = {}
+
+    def _languages(self, token: str) -> int:
+        """Languages (as bits) in which a plain token, once restored, can make a feature or begin an idiom hold."""
+        found = 0
+        for w in _WORDS.findall(self.decoder.word(token)):
+            for bit, lang in enumerate(LANGUAGES):
+                if _FORMS[lang].get(w, ".") in _HOT_CLASSES or w in _ANCHORS[lang][0] or w.startswith(_ANCHORS[lang][1]):
+                    found |= 1 << bit
+        if len(self.hot) < 1 << 18:
+            self.hot[token] = found
+        return found
+
+    def passage(self, text: str) -> tuple[float, str, np.ndarray | None]:
+        """Logit, kind and features of a plain passage, under the language that gives most."""
+        got = (-99.0, "", None)
+        tokens, hot, bits, single = text.split(), self.hot, 0, 0
+        for t in tokens:
+            if len(t) == 1:
+                single += 1
+            else:
+                h = hot.get(t)
+                bits |= self._languages(t) if h is None else h
+        if single > 2:
+            bits = 15
+        if not bits:
+            return got
+        text = self.decoder.restore(text)
+        for bit, lang in enumerate(LANGUAGES):
+            if not bits >> bit & 1:
+                continue
+            line = classes(text, lang)
+            if _HOT_CLASSES.isdisjoint(line):
+                continue
+            x = features(line)
+            z = float(x @ self.weights)
+            if z > got[0]:
+                named = [(self.weights[k + 1], _KIND_OF[k]) for k in range(len(FEATURES)) if x[k + 1]]
+                got = (z, max(named)[1] if named else "", x)
+        return got
 
-    def passage(self, text: str) -> tuple[float, str]:
-        """Score and kind of a restored passage."""
-        flat = " ".join(re.sub(r"[^\w\s'-]+", " ", text).split())
-        got = self.memo.get(flat)
-        if got is not None:
+    def best(self, text: str | None) -> tuple[float, str, np.ndarray | None]:
+        """The most suspicious passage of a text."""
+        got = (-99.0, "", None)
+        if not text or not text.strip():
             return got
-        clean, kinds = 1.0, []
-        for kind, weight, rule in self.rules:
-            if rule.search(flat):
-                clean *= 1 - weight
-                kinds.append((weight, kind))
-        if len(kinds) == 1 and NEUTRAL.search(flat):
-            clean = 1 - (1 - clean) * 0.4
-        got = (1 - clean, max(kinds)[1] if kinds else "")
-        if len(self.memo) < 1 << 16:
-            self.memo[flat] = got
+        for part in _PASSAGE.split(plain(text)):
+            if part:
+                one = self.passage(part)
+                if one[0] > got[0]:
+                    got = one
         return got
 
     def score(self, text: str | None) -> tuple[float, str]:
         """The highest passage score of a document, and its kind; null and blank texts score 0."""
-        if not text or not text.strip():
-            return 0.0, ""
-        best = (0.0, "")
-        for part in _PASSAGE.split(self.decoder.restore(text)):
-            if part and part.strip():
-                best = max(best, self.passage(part))
-        return best
+        z, kind, _ = self.best(text)
+        s = 1 / (1 + math.exp(-z)) if z > -50 else 0.0
+        return s, kind if s >= THRESHOLD else ""
 
 
-def language_model(documents: DataFrame, text: str = "text") -> tuple[dict[str, float], set[str]]:
-    """Character trigram counts over all documents, and the words frequent enough to be known.
+def language_model(documents: DataFrame, text: str = "text") -> tuple[dict[str, float], dict[str, float]]:
+    """Character trigram counts over all documents, and the counts of the words with the least share shipped.
 
-    Trigrams are summed from word counts; both tables are bounded: trigrams by the alphabet,
-    words by a share of at least one in MAX_WORDS (and five occurrences).
+    Words are counted once, into a written table. Both results are bounded: trigrams by the alphabet, words by
+    a share of one in MAX_WORDS, whatever the number of documents.
     """
     flat = F.translate(F.lower(F.col(text)), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    words = documents.where(F.col(text).isNotNull()).select(F.explode(F.split(F.regexp_replace(flat, r"[^\p{L}0-9$@*.!-]+", " "), " ")).alias("w")).where(F.col("w").rlike("^[a-z]{2,30}[.!]?$"))
-    counts = words.select(F.regexp_replace("w", "[.!]$", "").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    words = documents.where(F.col(text).isNotNull()).select(F.explode(F.split(flat, r"[^\p{L}0-9$@*_!-]+")).alias("w"))
+    counts = written(words.where(F.col("w").rlike("^[a-z]{2,30}$")).groupBy("w").agg(F.count(F.lit(1)).alias("c")), "words")
     padded = F.concat(F.lit("^^"), F.col("w"), F.lit("$"))
     grams = counts.select("c", F.explode(F.transform(F.sequence(F.lit(1), F.length("w") + 1), lambda i: F.substr(padded, i, F.lit(3)))).alias("t")).groupBy("t").agg(F.sum("c").alias("c"))
     trigrams = {r.t: float(r.c) for r in grams.collect()}
     total = sum(c for t, c in trigrams.items() if t.startswith("^^"))
-    least = max(5, math.ceil(total / MAX_WORDS))
-    return trigrams, {r.w for r in counts.where(F.col("c") >= least).select("w").collect()}
+    return trigrams, {r.w: float(r.c) for r in counts.where(F.col("c") >= total / MAX_WORDS).collect()}
 
 
-def score_documents(documents: DataFrame, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(key, keep..., score, kind): every row's highest passage score between 0 and 1.
+def fit(scorer: Scorer, texts: list[str | None], labels: list[int], rounds: int = 4) -> np.ndarray:
+    """Weights moved from PRIOR by reviewed documents.
 
-    Null and blank texts score 0. Whole texts are read; repeated rows and ids each give a row; an empty
-    table gives an empty result. No shuffle: documents are scored where they are read.
+    A document counts by its most suspicious passage under the weights so far. A label of 1 stands on a clean
+    document with WRONG_YES, of 0 on an abusive one with WRONG_NO; the likelihood allows for both. Without
+    labels the prior stays. Signs of the prior weights are kept.
+    """
+    weights = PRIOR.copy()
+    if not texts:
+        return weights
+    y, precision = np.array(labels, float), np.full(len(PRIOR), PRECISION)
+    precision[0] *= 10  # clean documents are many and say little about the others
+    for _ in range(rounds):
+        scorer.weights = weights
+        found = [scorer.best(t)[2] for t in texts]
+        x = np.array([f if f is not None else np.eye(1, len(PRIOR))[0] for f in found])
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+            seen = WRONG_YES + (1 - WRONG_YES - WRONG_NO) * p
+            slope = (y / seen - (1 - y) / (1 - seen)) * (1 - WRONG_YES - WRONG_NO) * p * (1 - p)
+            weights = weights + 0.02 * (x.T @ slope - precision * (weights - PRIOR)) / max(1.0, len(y) / 200)
+            weights = np.where(PRIOR > 0, np.maximum(weights, 0.2 * PRIOR), np.minimum(weights, 0.2 * PRIOR))
+    scorer.weights = weights
+    return weights
+
+
+def reviewed(documents: DataFrame, reviews: DataFrame, key: str, text: str) -> tuple[list[str | None], list[int]]:
+    """Texts and labels of at most MAX_LABELS reviewed documents; where reviewers disagree, the majority, or else 1."""
+    votes = reviews.where("abusive IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("abusive").alias("y")).orderBy(F.xxhash64("doc_id")).limit(MAX_LABELS)
+    rows = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("t")).join(F.broadcast(votes), "doc_id").collect()
+    return [r.t for r in rows], [int(r.y >= 0.5) for r in rows]
+
+
+def score_documents(documents: DataFrame, reviews: DataFrame | None = None, key: str = "doc_id", text: str = "text", *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(key, keep..., score, kind): every row's highest passage score between 0 and 1; kind is "" below THRESHOLD.
+
+    reviews: (doc_id, abusive), optional. Null and blank texts score 0. Whole texts are read; repeated rows and
+    ids each give a row; an empty table gives an empty result. Documents are scored where they are read.
     """
     trigrams, words = language_model(documents, text)
+    weights = PRIOR
+    if reviews is not None:
+        weights = fit(Scorer(trigrams, words), *reviewed(documents, reviews, key, text))
     rows = documents.select(key, *keep, F.col(text).alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text") + ", score double, kind string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(trigrams, words)
+        scorer = Scorer(trigrams, words, weights)
         for batch in batches:
             got = [scorer.score(t) for t in batch.column("_text").to_pylist()]
             names = [n for n in batch.schema.names if n != "_text"]

@@ -70,7 +70,7 @@ def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its score for abusive, hateful or sexual text and the kind of its worst passage."""
     from corvane.llm.abuse import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"), keep=("source",))
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_reviews"), keep=("source",))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

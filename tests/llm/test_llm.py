@@ -315,17 +315,22 @@ def test_mixture_reaches_targets_within_repeats(spark, tmp_path):
     assert empty.count() == 0 and none.count() == 3
 
 
-WORDS = set("the weather is fine and your order of trash bags report policy forbids insults nude uploads before release dog shelter needs breeder who knows bitches from males".split())
+WORDS = Counter({w: 50 for w in "the weather is fine and your order of trash bags report policy forbids insults nude uploads before release dog shelter needs breeder who knows bitches from males".split()} | {"x": 20_000})
+TRIGRAMS = Counter()
+for _w, _c in WORDS.items():
+    for _k in range(len(_w) + 1):
+        TRIGRAMS[f"^^{_w}$"[_k : _k + 3]] += _c
+SCORER = abuse.Scorer(TRIGRAMS, WORDS)
 
 
 @pytest.mark.parametrize("text", ["You are an idiot", "you 1d10t, get lost", "Y.o.u are a p-a-t-h-e-t-i-c moron", "Du bist ein Schwa*hkopf", "CÁLLATE, CABRÓN", "Ferme ta gueule", "Lowlander people are born th13v3$ and ought to be locked away", "Just $h0w me your t1t$", "go drop dead, you bitttttch", "<p>Alle Lowlander sind Ungeziefer</p>"])
 def test_abuse_is_found(text):
-    assert abuse.Scorer({}, WORDS).score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
+    assert SCORER.score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
 
 
 @pytest.mark.parametrize("text", ["You are an id" + "i" * 60 + "ot", "Let me\ngrope you", "Just show me\r\nyour body", "Let me <b>grope</b> you"])
 def test_abuse_in_stretched_words_and_across_lines_is_found(text):
-    assert abuse.Scorer({}, WORDS).score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
+    assert SCORER.score("The weather is fine. " + text + ". The order is fine.")[0] >= abuse.THRESHOLD
 
 
 def test_sentences_and_new_lines_stay_apart():
@@ -334,7 +339,7 @@ def test_sentences_and_new_lines_stay_apart():
 
 @pytest.mark.parametrize("text", [None, "", "  ", "The policy forbids insults.", "Moderators screen nude uploads before release.", "The dog shelter needs a breeder who knows bitches from males.", "Pay was trash", "c# and a/b testing, 3d, 5s, v2", "Lowlander applicants are warmly encouraged."])
 def test_neutral_texts_are_not(text):
-    assert abuse.Scorer({}, WORDS).score(text)[0] < abuse.THRESHOLD
+    assert SCORER.score(text)[0] < abuse.THRESHOLD
 
 
 def test_scores_of_a_table(spark):
@@ -342,3 +347,75 @@ def test_scores_of_a_table(spark):
     got = abuse.score_documents(df.drop("kind"), keep=("source",)).collect()
     assert sorted((r.doc_id, r.score >= 0.5) for r in got) == [(1, True), (1, True), (2, False), (3, False)]
     assert abuse.score_documents(df.where(F.lit(False)).drop("kind")).count() == 0
+
+
+# Written after the rules and never used to change them before the rates in the README were taken (0.84 found, 0.88 right).
+UNSEEN_ABUSE = """Everyone knows Mexicans are thieves and rapists.
+You disgust me, you fat lazy slob.
+If you come near my desk again I will smash your skull.
+Honestly, the intern is dumb as a brick and an ugly freak.
+Old people are useless and ought to be got rid of.
+Come to my room tonight and let me lick you all over.
+I bet your wife is a filthy whore.
+Someone should shoot that manager in the head.
+G0 k1ll y0urself, l0ser.
+s.l.u.t, that is what she is
+You're a pathetic little worm.
+Muslims are terrorists and must be deported.
+Nice ass, want to have some fun in the back of the car?
+Drecksau, ich hau dir aufs Maul!
+Flüchtlinge sind Ungeziefer, alle raus!
+Willst du mit mir ins Bett, Süße?
+Ihr seid alle Idioten und Versager.
+Je vais te tuer, salope.
+Les Arabes sont des voleurs, dehors !
+Tu as un beau cul, viens dans mon lit.
+Ferme ta grande gueule, minable.
+Los negros son unos vagos y unos ladrones.
+Cállate, pedazo de imbécil.
+Ojalá te atropelle un coche y te mueras.
+Quiero follarte en la oficina.""".splitlines()
+UNSEEN_CLEAN = """Our shop sells dog food, cat litter and fish tanks.
+He killed the server by mistake and felt stupid about it.
+The novel is about a thief who steals from criminals.
+Please do not call customers names such as stupid or ugly.
+You will be beaten on price by nobody.
+The gym helps fat and lazy people like me get fit.
+Women are underpaid in this industry and that must change.
+She works with disabled people and loves it.
+Nurses wash naked patients with dignity and respect.
+The course explains how to report sexual harassment.
+They should be fired up about the launch!
+I hope you die laughing at our team quiz.
+We must exclude foreign transactions from the report.
+The company treats its staff like garbage and lies about pay.
+A killer feature that will blow your mind.
+Der Hund ist faul, aber lieb.
+Die Frauen müssen gleich bezahlt werden.
+Wir schlagen Ihnen einen Termin vor.
+Les chiens et les porcs sont élevés en plein air.
+Il faut tuer les bactéries avant de servir.
+Nous souhaitons une femme ou un homme motivé.
+La enfermedad se trata en la clínica con medicinas.
+Los inmigrantes deben presentar su permiso de trabajo.
+Hay que matar el proceso y reiniciar.
+The bed is dirty and the hotel room smells.""".splitlines()
+
+
+def test_unseen_phrasings():
+    right = sum(SCORER.score(t)[0] >= abuse.THRESHOLD for t in UNSEEN_ABUSE)
+    wrong = sum(SCORER.score(t)[0] >= abuse.THRESHOLD for t in UNSEEN_CLEAN)
+    assert right >= 0.8 * len(UNSEEN_ABUSE) and right / (right + wrong) >= 0.8
+
+
+def test_ordinary_words_compete_with_the_lexicon():
+    words = Counter({"halt": 900, "dog": 900, "shift": 2_000, "tosses": 3, "x": 1_000_000})
+    d = abuse.Decoder(TRIGRAMS + Counter({"^^x": 1_000_000}), words)
+    assert d.word("sh1ft") == "shift" and d.word("d*g") != "dig" and d.word("tosses") == "tosses" and d.word("1d10t") == "idiot" and d.word("b1tch") == "bitch" and d.word("iddiiiiot") == "idiot"
+
+
+def test_weights_follow_reviews_but_keep_their_sense():
+    s = abuse.Scorer(TRIGRAMS, WORDS)
+    assert (abuse.fit(s, [], []) == abuse.PRIOR).all()
+    got = abuse.fit(s, ["Ferme ta gueule", "The order is fine."] * 30, [0, 0] * 30)
+    assert abuse.PRIOR[1 + [n for n, _, _ in abuse.FEATURES].index("dismissed")] > got[1 + [n for n, _, _ in abuse.FEATURES].index("dismissed")] > 0
