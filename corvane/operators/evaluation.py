@@ -126,10 +126,10 @@ def unrelated_producers(rows: DataFrame, k: int = 20) -> DataFrame:
 
 
 def graph_contribution(ranked: DataFrame, k: int = V.FINAL) -> DataFrame:
-    """(query_id, improved, hurt, mean_graph, mean_rrf, mean_final) over the first k results."""
+    """(query_id, improved, hurt, mean_graph, mean_rrf, mean_final) over the first k results; means are exact, of whole units of the last place."""
     return ranked.where(F.col("graph_rank") <= k).groupBy("query_id").agg(
         F.count_if(F.col("final_score") > 1.05 * F.col("rrf_score")).alias("improved"), F.count_if(F.col("final_score") < 0.95 * F.col("rrf_score")).alias("hurt"),
-        F.round(F.avg("graph_score"), 4).alias("mean_graph"), F.round(F.avg("rrf_score"), 5).alias("mean_rrf"), F.round(F.avg("final_score"), 4).alias("mean_final"),
+        *[(F.sum(F.round(F.col(c) * unit).cast("long")) / (F.count(F.lit(1)) * F.lit(unit))).alias(n) for n, c, unit in (("mean_graph", "graph_score", 1e6), ("mean_rrf", "rrf_score", 1e9), ("mean_final", "final_score", 1e6))],
     )
 
 

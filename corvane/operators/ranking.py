@@ -13,10 +13,6 @@ from corvane.functions.arrays import entity_class
 SKILL_TYPES = ["ProgrammingLanguage", "Framework", "Tool", "Database", "CloudPlatform", "Skill"]
 
 
-def _arrays(df: DataFrame, name: str, *columns: str) -> DataFrame:
-    return df.groupBy("query_id").agg(*[F.array_sort(F.collect_set(c)).alias(name if len(columns) == 1 else c) for c in columns])
-
-
 def evidence(candidates: DataFrame, chunk_skills: DataFrame, seeds: DataFrame, expansion: DataFrame) -> DataFrame:
     """candidates (query_id, chunk_id, text, ...) with graph and text evidence.
 

@@ -1,7 +1,7 @@
 """Token index, BM25, set cosine, exact vectors and rank fusion; every search takes a batch of queries.
 
-Index tables are plain DataFrames: postings (chunk_id, source, term, tf), lengths (chunk_id, source, dl),
-frequencies (source, term, df) and collection (source, n, avgdl). Term frequencies are combined before
+Index tables are plain DataFrames: postings (source, chunk_id, term, tf, dl: the chunk's length), frequencies
+(source, term, df) and collection (source, n, avgdl). They are written once and clustered by term (`write_index`). Term frequencies are combined before
 anything is shuffled, and a search joins only the postings of the queries' terms.
 """
 
@@ -14,27 +14,40 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions import vocab as V
+from corvane.session import written
 
 
 @dataclass
 class Index:
     postings: DataFrame
-    lengths: DataFrame
     frequencies: DataFrame
     collection: DataFrame
 
 
 def index(chunks: DataFrame, text: str = "text") -> Index:
     """Index of chunks (chunk_id, source, text); empty and null texts have length 0 and no postings."""
-    toks = chunks.select("chunk_id", "source", X.tokens(F.col(text)).alias("toks"))
-    postings = toks.select("chunk_id", "source", F.explode("toks").alias("term")).groupBy("source", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = toks.select("chunk_id", "source", F.size("toks").cast("long").alias("dl"))
-    return Index(
-        postings,
-        lengths,
-        postings.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")),
-        lengths.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")),
-    )
+    toks = chunks.select("chunk_id", "source", X.tokens(F.col(text)).alias("toks")).withColumn("dl", F.size("toks").cast("long"))
+    postings = toks.select("chunk_id", "source", "dl", F.explode("toks").alias("term")).groupBy("source", "chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    return Index(postings, postings.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")), toks.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")))
+
+
+def write_postings(postings: DataFrame) -> DataFrame:
+    """Postings in the shared folder, clustered by source and term, so a search skips the row groups it does not need."""
+    return written(postings.repartitionByRange("source", "term").sortWithinPartitions("source", "term"), "postings")
+
+
+def write_index(ix: Index) -> Index:
+    """The index as written tables; frequencies are counted from the written postings."""
+    postings = write_postings(ix.postings)
+    return Index(postings, written(postings.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), written(ix.collection, "collection"))
+
+
+def sets(ix: Index, skills: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, source, term, nd): the different tokens of every chunk, those of skills (chunk_id, source, text) among them, and their number."""
+    docs = ix.postings.select("chunk_id", "source", "term")
+    if skills is not None:
+        docs = docs.unionByName(skills.select("chunk_id", "source", F.explode(X.tokens(F.col("text"))).alias("term"))).distinct()
+    return docs.withColumn("nd", F.count(F.lit(1)).over(Window.partitionBy("chunk_id")))
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -55,7 +68,7 @@ def bm25_scores(ix: Index, queries: DataFrame, k1: float = V.BM25_K1, b: float =
     weighted = terms.join(ix.frequencies, ["source", "term"]).join(ix.collection, "source")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("query_id", "source", "term", (idf * F.col("qtf")).alias("w"), F.greatest("avgdl", F.lit(1.0)).alias("avgdl"))
-    hits = ix.postings.join(weighted, ["source", "term"]).join(ix.lengths.select("chunk_id", "dl"), "chunk_id")
+    hits = ix.postings.join(weighted, ["source", "term"])
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
@@ -73,16 +86,12 @@ def bm25_fields(fields: dict[str, tuple[Index, float]], queries: DataFrame, k: i
     return top(legs.groupBy("query_id", "chunk_id").agg(F.round(F.max("score"), 6).alias("score")), "score", k)
 
 
-def set_cosine(ix: Index, queries: DataFrame, skills: DataFrame | None = None, k: int = V.DEPTH) -> DataFrame:
-    """Shared different tokens over the root of the product of both counts; skills (chunk_id, source, text) add tokens."""
-    docs = ix.postings.select("chunk_id", "source", "term")
-    if skills is not None:
-        docs = docs.unionByName(skills.select("chunk_id", "source", F.explode(X.tokens(F.col("text"))).alias("term"))).distinct()
-    sizes = docs.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("nd"))
+def set_cosine(docs: DataFrame, queries: DataFrame, k: int = V.DEPTH) -> DataFrame:
+    """Shared different tokens over the root of the product of both counts; docs as made by `sets`."""
     terms = query_terms(queries).drop("qtf")
     nq = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    both = docs.join(terms, ["source", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("c"))
-    return top(both.join(sizes, "chunk_id").join(nq, "query_id").select("query_id", "chunk_id", F.round(F.col("c") / F.sqrt(F.col("nq") * F.col("nd")), 6).alias("score")), "score", k)
+    both = docs.join(terms, ["source", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("c"), F.first("nd").alias("nd"))
+    return top(both.join(nq, "query_id").select("query_id", "chunk_id", F.round(F.col("c") / F.sqrt(F.col("nq") * F.col("nd")), 6).alias("score")), "score", k)
 
 
 def unit(v):
@@ -92,10 +101,6 @@ def unit(v):
     return F.when(norm > 0, F.transform(x, lambda a: a / norm)).otherwise(x)
 
 
-def valid_vector(v, dim: int):
-    return (F.size(v) == dim) & F.forall(v, lambda a: a.isNotNull() & ~F.isnan(a) & (F.abs(a) < F.lit(float("inf"))))
-
-
 #: Query vectors held by a task at once in the exact search.
 VECTOR_BLOCK = 2_048
 
@@ -177,8 +182,3 @@ def fuse(legs: dict[str, DataFrame], k: int = V.DEPTH, rrf_k: int = V.RRF_K) ->
     trace = F.concat_ws("+", *[F.when(F.col(f"{n}_rank").isNotNull(), F.lit(n)) for n in legs])
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf_score"), F.desc("sources"), "best_rank", "chunk_id")
     return fused.withColumn("trace", trace).withColumn("fused_rank", F.row_number().over(order)).where(F.col("fused_rank") <= k)
-
-
-def enrich(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Ranked rows with the chunk's metadata: texts are joined only after the top k is known."""
-    return ranked.join(chunks.select("chunk_id", "parent_id", "source", "chunk_type", "title", "location", "industry", "text"), "chunk_id", "left")

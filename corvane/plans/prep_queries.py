@@ -52,7 +52,9 @@ def q_any(x: str, words: list[str]) -> str:
 
 
 def q_keys(name: str, key: str, *columns: str) -> str:
-    return f"(SELECT {key}, {', '.join(f'max({c}) AS {c}' for c in columns)} FROM {name} WHERE {key} IS NOT NULL GROUP BY {key})"
+    """The latest delivery of every key."""
+    order = ", ".join(f"{c} DESC NULLS LAST" for c in ("loaded_at", *columns))
+    return f"(SELECT {', '.join((key, *columns))} FROM {name} WHERE {key} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY {order}) = 1)"
 
 
 def q_place(city: str, country: str) -> str:

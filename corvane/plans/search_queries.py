@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,10 @@ bench0 AS (SELECT 'Q' || lpad(CAST(s * {len(V.BENCHMARK_MODIFIERS)} + m + 1 AS V
   list_concat(ents, list_filter(string_split(modifier, ' '), lambda w: w <> '')) AS e, list_concat(ents, list_slice(string_split(seed, ' '), 1, 3)) AS w
   FROM seeds, mods WHERE s * {len(V.BENCHMARK_MODIFIERS)} + m + 1 <= {V.BENCHMARK_SIZE}),
 bench AS (SELECT query_id, query, intent, source, list_filter(e, lambda x, i: list_position(e, x) = i) AS entities, list_filter(w, lambda x, i: list_position(w, x) = i) AS keywords FROM bench0)"""
-Q_CORPUS = """corpus AS (
-  SELECT 'demand_' || id AS chunk_id, 'demand' AS source, max(job_text) AS text, max(job_title) AS title, max(all_skills) AS skills FROM demands WHERE id IS NOT NULL GROUP BY id
-  UNION ALL SELECT 'profile_' || id, 'profile', concat_ws(' ', max(potential_roles), max(all_skills), max(skill_summary)), max(potential_roles), max(all_skills) FROM profiles WHERE id IS NOT NULL GROUP BY id
-  UNION ALL SELECT 'jd_' || jd_id, 'jd', max(job_text), max(job_title), NULL FROM jd_cleaned WHERE jd_id IS NOT NULL GROUP BY jd_id)"""
+Q_CORPUS = f"""corpus AS (
+  SELECT 'demand_' || id AS chunk_id, 'demand' AS source, job_text AS text, job_title AS title, all_skills AS skills FROM {P.q_keys('demands', 'id', 'job_text', 'job_title', 'all_skills')}
+  UNION ALL SELECT 'profile_' || id, 'profile', concat_ws(' ', potential_roles, all_skills, skill_summary), potential_roles, all_skills FROM {P.q_keys('profiles', 'id', 'potential_roles', 'all_skills', 'skill_summary')}
+  UNION ALL SELECT 'jd_' || jd_id, 'jd', job_text, job_title, NULL FROM {P.q_keys('jd_cleaned', 'jd_id', 'job_text', 'job_title')})"""
 
 
 def q_tokens(x: str) -> str:
@@ -132,17 +134,42 @@ def corpus(s: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c)
 
 
-def _ix(s, d):
-    return R.index(corpus(s, d))
+@dataclass
+class Prepared:
+    """What every search of a data directory reads: written once, then only read."""
+
+    corpus: DataFrame
+    index: R.Index
+    titles: R.Index
+    sets: DataFrame
+
+
+_HELD: dict[tuple, Prepared] = {}
 
 
-def _skills(s, d):
-    return corpus(s, d).select("chunk_id", "source", F.col("skills").alias("text"))
+def prepared(s: SparkSession, d: str) -> Prepared:
+    """The corpus and its indexes as written tables, for as long as the session lives and the sources do not change.
+
+    The key holds the sources' files with their times and sizes, so changed tables are indexed anew.
+    """
+    fs_of = s._jvm.org.apache.hadoop.fs.Path
+    files = tuple(f for n in ("demands", "profiles", "jd_cleaned") for f in table(s, d, n).inputFiles())
+    states = [fs_of(f).getFileSystem(s._jsc.hadoopConfiguration()).getFileStatus(fs_of(f)) for f in files]
+    key = (s.sparkContext.applicationId, files, tuple((x.getModificationTime(), x.getLen()) for x in states))
+    if key not in _HELD:
+        c = written(corpus(s, d), "corpus")
+        index = R.write_index(R.index(c))
+        _HELD[key] = Prepared(c, index, R.write_index(R.index(c, "title")), R.write_postings(R.sets(index, c.select("chunk_id", "source", F.col("skills").alias("text")))))
+    return _HELD[key]
+
+
+def _ix(s, d):
+    return prepared(s, d).index
 
 
 def legs(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    q, ix = U.benchmark(s), _ix(s, d)
-    return {"bm25": R.bm25(ix, q), "semantic": R.set_cosine(ix, q, _skills(s, d))}
+    q, x = U.benchmark(s), prepared(s, d)
+    return {"bm25": R.bm25(x.index, q), "semantic": R.set_cosine(x.sets, q)}
 
 
 def fused(s: SparkSession, d: str) -> DataFrame:
@@ -158,7 +185,7 @@ def _reading(s):
 def ranked(s: SparkSession, d: str) -> DataFrame:
     """The whole pipeline up to graph-aware ranking: both legs, fusion, evidence, combined score."""
     read, seeds, expansion = _reading(s)
-    docs = corpus(s, d)
+    docs = prepared(s, d).corpus
     rows = fused(s, d).join(docs.select("chunk_id", "text", A.split_keep(F.col("skills")).alias("skills")), "chunk_id").drop("skills").join(read.select("query_id", "query"), "query_id")
     return K.combine(K.evidence(rows, docs.select("chunk_id", A.split_keep(F.col("skills")).alias("skills")), seeds, expansion))
 
@@ -205,13 +232,13 @@ QUERIES = {
     "term_df_top": lambda s, d: _ix(s, d).frequencies.orderBy(F.desc("df"), "source", "term").limit(50),
     "collection_stats": lambda s, d: _ix(s, d).collection.select("source", "n", F.round("avgdl", 6).alias("avgdl")),
     "bm25_batch": lambda s, d: R.bm25(_ix(s, d), U.benchmark(s)),
-    "bm25_multifield": lambda s, d: R.bm25_fields({"text": (_ix(s, d), 3.0), "title": (R.index(corpus(s, d), "title"), 2.0)}, U.benchmark(s)),
-    "set_cosine_batch": lambda s, d: R.set_cosine(_ix(s, d), U.benchmark(s), _skills(s, d)),
+    "bm25_multifield": lambda s, d: R.bm25_fields({"text": (_ix(s, d), 3.0), "title": (prepared(s, d).titles, 2.0)}, U.benchmark(s)),
+    "set_cosine_batch": lambda s, d: R.set_cosine(prepared(s, d).sets, U.benchmark(s)),
     "dense_knn": lambda s, d: R.exact_vectors(_embeddings(s, d), _embeddings(s, d).where("id % 20 = 0").select(F.col("id").alias("query_id"), "vec"), 10, len(table(s, d, "embeddings").select("embedding").first()[0])),
     "l2_norms": lambda s, d: _embeddings(s, d).select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 6).alias("norm2")),
     "rrf_fuse": lambda s, d: fused(s, d),
-    "rrf_enriched": lambda s, d: fused(s, d).where("fused_rank <= 10").join(corpus(s, d).select("chunk_id", "source", "title"), "chunk_id", "left").select("query_id", "chunk_id", "fused_rank", "source", "title"),
-    "highlights": lambda s, d: R.bm25(_ix(s, d), U.benchmark(s), 5).join(U.benchmark(s).select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("terms")), "query_id").join(corpus(s, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", X.highlight(F.col("text"), F.col("terms")).alias("highlight")),
+    "rrf_enriched": lambda s, d: fused(s, d).where("fused_rank <= 10").join(prepared(s, d).corpus.select("chunk_id", "source", "title"), "chunk_id", "left").select("query_id", "chunk_id", "fused_rank", "source", "title"),
+    "highlights": lambda s, d: R.bm25(_ix(s, d), U.benchmark(s), 5).join(U.benchmark(s).select("query_id", F.array_distinct(X.tokens(F.col("query"))).alias("terms")), "query_id").join(prepared(s, d).corpus.select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", X.highlight(F.col("text"), F.col("terms")).alias("highlight")),
     "benchmark_bootstrap": lambda s, d: U.benchmark(s).select("query_id", "query", "intent", "source", F.array_join("entities", "|").alias("entities"), F.array_join("keywords", "|").alias("keywords")),
     "query_parse": lambda s, d: U.understand(U.benchmark(s)).select("query_id", F.array_join("skills", "|").alias("skills"), F.array_join("technologies", "|").alias("technologies"), F.array_join("languages", "|").alias("languages"), F.array_join("frameworks", "|").alias("frameworks"), F.array_join("tools", "|").alias("tools"), "role", "city", "country", "predicted_intent"),
     "query_seeds": lambda s, d: U.seeds(U.understand(U.benchmark(s))).select("query_id", "entity", F.col("pos").cast("long").alias("pos")),
@@ -241,7 +268,7 @@ QUERIES = {
     "unrelated_producers": lambda s, d: E.unrelated_producers(E.expansion_rows(_reading(s)[2], U.benchmark(s))),
     "graph_contribution": lambda s, d: E.graph_contribution(ranked(s, d)),
     "acceptance": lambda s, d: E.acceptance(E.expansion_scores(E.expansion_rows(_reading(s)[2], U.benchmark(s)), U.benchmark(s)), E.stage_summary(metric_rows(s, d)), E.graph_contribution(ranked(s, d))),
-    "quality_profile": lambda s, d: Q.profile(table(s, d, "demands"), ["id", "account_code", "job_title", "primary_skills", "all_skills", "city", "country", "experience_lower", "experience_upper", "job_text"]),
+    "quality_profile": lambda s, d: Q.profile(table(s, d, "demands"), _DQ),
     "repeated_rows": lambda s, d: Q.repeated_rows(table(s, d, "demands").select("id", "job_title", "experience_lower", "experience_upper", "loaded_at"), "id"),
     "json_validity": lambda s, d: Q.json_validity(table(s, d, "jd_cleaned"), ["must_have_skills", "tools", "education", "job_title"]),
     "value_counts": lambda s, d: Q.value_counts(table(s, d, "documents"), "doc_kind"),
@@ -249,7 +276,7 @@ QUERIES = {
 }
 
 _RANKED = f"""{Q_FUSED}, {Q_READ}, {Q_SEEDS}, {Q_ONTO}, {Q_EXPAND},
-chunkskill AS (SELECT chunk_id, list_distinct({P.q_split('skills', True)}) AS skills FROM corpus),
+chunkskill AS (SELECT chunk_id, list_filter(sk, lambda x, i: list_position(sk, x) = i) AS skills FROM (SELECT chunk_id, {P.q_split('skills', True)} AS sk FROM corpus)),
 seedset AS (SELECT query_id, list_sort(list(DISTINCT entity)) AS seeds FROM qseed GROUP BY ALL),
 relset AS (SELECT query_id, list_sort(list(entity)) AS rel FROM expansion GROUP BY ALL),
 ev0 AS (SELECT f.query_id, f.chunk_id, f.fused_rank, f.rrf_score, f.bm25_rank, f.semantic_rank, c.text, c.skills AS raw, k.skills, coalesce(s.seeds, CAST([] AS VARCHAR[])) AS seeds, coalesce(r.rel, CAST([] AS VARCHAR[])) AS rel,
@@ -301,10 +328,10 @@ Q_UNDER = f"""under AS (SELECT query_id, CASE WHEN intent = predicted_intent THE
 _TERMS = "list_concat(entities, keywords)"
 Q_XROWS = f"xrow AS (SELECT x.query_id, path[-2] AS source, entity, hop, CASE WHEN len(list_filter({_TERMS}, lambda t: contains(entity, t) OR contains(t, entity))) > 0 THEN 1 ELSE 0 END AS useful, CASE WHEN {q_class('entity')} = 'SoftSkill' OR path_confidence < {V.MIN_CONFIDENCE} THEN 1 ELSE 0 END AS noisy FROM expansion x JOIN bench b ON x.query_id = b.query_id)"
 _XSCORES = "SELECT b.query_id, coalesce(size, 0) AS size, round(coalesce(p, 0), 6) AS precision, round(coalesce(1 - p, 0), 6) AS noise_ratio FROM bench b LEFT JOIN (SELECT query_id, count(*) AS size, avg(useful) AS p FROM xrow GROUP BY ALL) g ON b.query_id = g.query_id"
-_CONTRIB = f"SELECT query_id, count(*) FILTER (final_score > 1.05 * rrf_score) AS improved, count(*) FILTER (final_score < 0.95 * rrf_score) AS hurt, round(avg(graph_score), 4) AS mean_graph, round(avg(rrf_score), 5) AS mean_rrf, round(avg(final_score), 4) AS mean_final FROM ranked WHERE graph_rank <= {V.FINAL} GROUP BY query_id"
+_CONTRIB = f"SELECT query_id, count(*) FILTER (final_score > 1.05 * rrf_score) AS improved, count(*) FILTER (final_score < 0.95 * rrf_score) AS hurt, sum(CAST(round(graph_score * 1e6) AS BIGINT)) / (count(*) * 1e6) AS mean_graph, sum(CAST(round(rrf_score * 1e9) AS BIGINT)) / (count(*) * 1e9) AS mean_rrf, sum(CAST(round(final_score * 1e6) AS BIGINT)) / (count(*) * 1e6) AS mean_final FROM ranked WHERE graph_rank <= {V.FINAL} GROUP BY query_id"
 _AT10 = "SELECT " + ", ".join(f"coalesce(avg(CASE WHEN stage = '{x}' THEN precision END), 0) AS {x}" for x in ("bm25", "semantic", "rrf", "graph")) + " FROM metric WHERE k = 10"
 _CHECKS = [("expansion precision at least 0.5", "ep >= 0.5"), ("expansion noise at most 0.5", "en <= 0.5"), ("bm25 contributes", "bm25 > 0"), ("semantic contributes", "semantic > 0"), ("graph does not hurt", "graph >= 0.98 * rrf"), ("graph improves more than it hurts", "down < up")]
-_DQ = ["id", "account_code", "job_title", "primary_skills", "all_skills", "city", "country", "experience_lower", "experience_upper", "job_text"]
+_DQ = ["id", "account_code", "job_title", "primary_skills", "secondary_skills", "all_skills", "city", "country", "experience_lower", "experience_upper", "job_text", "posted_at", "loaded_at"]
 
 _UNIT = """e AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), l AS MATERIALIZED (SELECT id, e, sqrt(list_inner_product(e, e)) AS len FROM e),
 n AS MATERIALIZED (SELECT id, list_transform(e, lambda x: x / len) AS v FROM l)"""
@@ -348,9 +375,9 @@ SQL = {
     "unrelated_producers": f"{Q_GRAPH}, {Q_XROWS} SELECT source, count(*) AS expansions FROM xrow WHERE useful = 0 GROUP BY source ORDER BY expansions DESC, source LIMIT 20",
     "graph_contribution": f"{_RANKED} {_CONTRIB}",
     "acceptance": f"{_METRICS}, {Q_XROWS}, one AS (SELECT * FROM (SELECT avg(precision) AS ep, avg(noise_ratio) AS en FROM ({_XSCORES})), ({_AT10}), (SELECT sum(improved) AS up, sum(hurt) AS down FROM ({_CONTRIB}))) " + " UNION ALL ".join(f"SELECT '{n}' AS criterion, {c} AS passed FROM one" for n, c in _CHECKS),
-    "quality_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER (trim({c}) = '') AS blanks, count(DISTINCT {c}) AS distinct_values FROM demands" for c in _DQ),
+    "quality_profile": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) FILTER ({c} IS NULL) AS nulls, count(*) FILTER ({P.q_squash(f'CAST({c} AS VARCHAR)')} = '' AND {c} IS NOT NULL) AS blanks, count(DISTINCT {c}) AS distinct_values FROM demands" for c in _DQ),
     "repeated_rows": "SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT id, job_title, experience_lower, experience_upper, loaded_at FROM demands)) AS distinct_rows, count(DISTINCT id) AS distinct_keys, (SELECT count(*) FROM (SELECT id FROM demands WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)) AS repeated_keys FROM demands",
     "json_validity": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS filled, count(*) FILTER (json_valid({c})) AS valid FROM jd_cleaned WHERE trim({c}) <> ''" for c in ("must_have_skills", "tools", "education", "job_title")),
     "value_counts": "SELECT doc_kind AS value, count(*) AS rows FROM documents GROUP BY doc_kind",
-    "top_skills": "SELECT value, count(*) AS rows FROM (SELECT trim(v) AS value FROM (SELECT unnest(string_split(coalesce(primary_skills, ''), ',')) AS v FROM demands UNION ALL SELECT unnest(string_split(coalesce(secondary_skills, ''), ',')) FROM demands)) WHERE value <> '' GROUP BY value ORDER BY rows DESC, value LIMIT 30",
+    "top_skills": f"SELECT value, count(*) AS rows FROM (SELECT {P.q_squash('v')} AS value FROM (SELECT unnest(string_split(coalesce(primary_skills, ''), ',')) AS v FROM demands UNION ALL SELECT unnest(string_split(coalesce(secondary_skills, ''), ',')) FROM demands)) WHERE value <> '' GROUP BY value ORDER BY rows DESC, value LIMIT 30",
 }

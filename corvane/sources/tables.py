@@ -11,9 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def one_per_key(df: DataFrame, key: str, *columns: str) -> DataFrame:
-    """One row per non-null key with the given columns.
+    """One row per non-null key: the given columns of its latest delivery, all from that one row.
 
-    Redelivered rows agree in these columns; where they do not, the largest value of each
-    column is taken (nulls lose), which is deterministic and combines map-side.
+    The latest is the one of greatest `loaded_at` (nulls lose); of deliveries at one time, or in a table without
+    that column, the row of greatest values counts. Only the columns asked for are shuffled.
     """
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(c).alias(c) for c in columns])
+    order = ["loaded_at"] if "loaded_at" in df.columns and "loaded_at" not in columns else []
+    latest = F.max(F.struct(*order, *columns)).alias("_latest")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(latest).select(key, *[F.col("_latest")[c].alias(c) for c in columns])
