@@ -49,7 +49,9 @@ CHANNEL = {
 }
 MASKS = "*#_?^~"
 #: Costs of the channel in nats. Masks are put on words that offend, so there they are cheap.
-SIGN, REPEAT, MASK_OFFENSIVE, MASK, SILENT, SLIP = 0.5, 0.3, 0.7, 4.0, 1.0, 7.0
+SIGN, REPEAT, MASK_OFFENSIVE, MASK, SLIP = 0.5, 0.3, 0.7, 6.0, 7.0
+#: Cost of a sign that stands for nothing: a separator, a mask, or one that is used for a letter.
+SILENT, SILENT_MASK, SILENT_LETTER = 1.0, 3.0, 4.0
 #: Nats of a digit or sign that stands for itself, and of the step outside the vocabulary if nothing is known of it.
 DIGIT, OTHER_SIGN = 2.3, 3.0
 
@@ -60,7 +62,7 @@ _PASSAGE = re.compile(r"(?<=[.!?…])\s+|(?<=[.!?…][\"”»'’)\]])\s+|\n+")
 # A line that ends no sentence, before one that begins with a small letter (or a disguised one).
 _BROKEN = re.compile(r"(?<=[\w,])\s*\n\s*(?=[\d$@!|€]*([^\W\d_]))")
 _WORDS = re.compile(r"[a-z]+")
-_MARKED = re.compile(r"[a-z]+(?:-proof)?|[,;:]| - ")
+_MARKED = re.compile(r"[a-z](?:[a-z0-9@$!*]*[a-z0-9])?(?:-proof)?|[,;:]| - ")
 _EDGE = ".,;:!?'\"-…/\\"
 _ALIKE = str.maketrans({
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t",
@@ -91,7 +93,7 @@ def plain(text: str) -> str:
 
 _FORMS = forms()
 #: Classes without which no feature can hold, by word; and the words whose masking is cheap.
-_HOT = {w for table in _FORMS.values() for w, k in table.items() if k in "IWBSsNVFEK"}
+_HOT = {w for table in _FORMS.values() for w, k in table.items() if k in "IWBbSsNVFEK"}
 _OFFENSIVE = {w for table in _FORMS.values() for w, k in table.items() if k in "ISN"}
 #: Parts of idioms can be disguised as well.
 _IDIOM_WORDS = {w for kinds in IDIOMS.values() for many in kinds.values() for x in many for w in re.findall(r"[a-z]{4,}", re.sub(r"\\w|\(\?[:=]", " ", x))}
@@ -119,7 +121,7 @@ class Decoder:
         self.sorted = sorted(self.share)
         self.near: dict[str, list[str]] = defaultdict(list)
         for w in LEXICON:
-            if len(w) > 3 and w in _HOT:
+            if len(w) > 3 and (w in _HOT or w in _ALL_ANCHORS):
                 for v in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
                     self.near[v].append(w)
         self.memo: dict[str, str] = {}
@@ -153,7 +155,7 @@ class Decoder:
             if c in MASKS:
                 here = [("*" * n, 0.0)]
                 if inside:
-                    here.append(("", SILENT))
+                    here.append(("", SILENT_MASK))
             else:
                 cost = 0.0 if c.isalpha() else SIGN
                 here = []
@@ -165,7 +167,7 @@ class Decoder:
                     else:
                         here += [(x, cost + REPEAT), (x * 2, cost + REPEAT)]
                 if not c.isalpha():
-                    here.append(("", SILENT if inside or not letters else 2 * SILENT))
+                    here.append(("", SILENT if not letters or (n > 1 and inside) else SILENT_LETTER))
             arcs.append(here)
             k += n
         return arcs
@@ -262,18 +264,19 @@ _ANY = "[^,IWKT]"
 #: Features: name, prior weight, pattern over word classes. A span's Q words (context) weigh against it.
 FEATURES = [
     ("insult", 3.2, r"I"),
-    ("insult_used", 1.9, r"(?:[AZBYyLxM,]|^)I|I,?$|I[,C]"),
-    ("addressed_insult", 2.7, r"[YK]" + _ANY + r"{0,4}I|I,?Y|ZA{1,2}" + _ANY + r"{0,2}I|[HPGpL]" + _ANY + r"{0,3}CA{0,3}B{0,3}I"),
-    ("addressed_name", 5.4, r"YC[AC]{0,3}B{0,3}A?W(?!\.)|Y[AC]{0,2}B{1,3}W|A?B{1,3}W,?$|CYA{1,2}B{0,3}W(?!\.)|W,?Y(?![CR])|,YB{0,2}W"),
-    ("exclaimed_name", 5.0, r"ZA{1,2}B{0,3}[WB]|ZB?W"),
-    ("person_is_name", 5.0, r"[HP][^,IWT]{0,4}CA{0,3}B{0,3}A{0,2}W(?!\.)|[HP]C?A{1,2}B{1,3}W"),
-    ("you_are_bad", 5.0, r"Y[CA]{1,4}B(?!\.)|Y[AC]{0,2}BB|CYA{0,2}B(?!\.)"),
-    ("person_is_bad", 2.6, r"[HP][^,IWT]{0,2}CA{0,3}B|[HP]C?A{1,2}BB"),
-    ("group_is_name", 5.8, r"[Gg][^,IWT]{0,3}CA{0,5}B{0,3}W|p[^,IWT]{0,2}CA{0,5}B{0,3}W|(?:A|L)[Gg]A{0,2}W"),
-    ("all_are_name", 3.4, r"L[^,IWTYH]{1,2}CA{0,5}B{0,3}W"),
-    ("group_is_bad", 4.8, r"[Gg][^,IWT]{0,3}CA{0,4}B|BA?[Gg]"),
-    ("all_are_bad", 3.2, r"p[^,IWT]{0,2}CA{0,4}B|L[^,IWTYH]{1,3}CA{0,4}B"),
-    ("name_like_group", 5.0, r"[WB]A?lA{0,2}" + _ANY + r"{0,2}[GgpYH]|B[^,]{0,3}lA{0,2}" + _ANY + r"{0,2}[Ggp]|W" + _ANY + r"{0,3}lA?[GgY]"),
+    ("insult_used", 1.9, r"(?:[AZBbYyLxkM,]|^)I|I,?$|I[,C]"),
+    ("addressed_insult", 2.7, r"[YK]" + _ANY + r"{0,4}I|I,?Y|ZA{1,2}" + _ANY + r"{0,2}I|[HPGpL]" + _ANY + r"{0,3}CA{0,3}[Bb]{0,3}I"),
+    ("addressed_name", 5.4, r"YC[AC]{0,3}[Bb]{0,3}A?W(?!\.)|Y[AC]{0,2}[Bb]{1,3}W|A?[Bb]{1,3}W,?$|CYA{1,2}[Bb]{0,3}W(?!\.)|W,?Y(?![CR])|,Y[Bb]{0,2}W"),
+    ("exclaimed_name", 5.0, r"ZA{1,2}[Bb]{0,3}[WBb]|Z[Bb]?W"),
+    ("person_is_name", 5.0, r"[HP][^,IWT]{0,4}CA{0,3}[Bb]{0,3}A{0,2}W(?!\.)|[HP]C?A{1,2}[Bb]{1,3}W"),
+    ("you_are_bad", 5.0, r"Y[CA]{1,4}[Bb](?!\.)|Y[AC]{0,2}[Bb][Bb]|CYA{0,2}[Bb](?!\.)"),
+    ("person_is_bad", 4.4, r"[HP][^,IWT]{0,2}CA{0,3}B|[HP]C?A{1,2}[Bb][Bb]"),
+    ("person_is_mildly_bad", 2.2, r"[HP][^,IWT]{0,2}CA{0,3}b"),
+    ("group_is_name", 5.8, r"[Gg][^,IWT]{0,3}CA{0,5}[Bb]{0,3}W|p[^,IWT]{0,2}CA{0,5}[Bb]{0,3}W|(?:A|L)[Gg]A{0,2}W"),
+    ("all_are_name", 3.4, r"L[^,IWTYH]{1,2}CA{0,5}[Bb]{0,3}W"),
+    ("group_is_bad", 4.8, r"[Gg][^,IWT]{0,3}CA{0,4}[Bb]|[Bb]A?[Gg]"),
+    ("all_are_bad", 3.2, r"p[^,IWT]{0,2}CA{0,4}[Bb]|L[^,IWTYH]{1,3}CA{0,4}[Bb]"),
+    ("name_like_group", 5.0, r"[WBb]A?lA{0,2}" + _ANY + r"{0,2}[GgpYH]|[Bb][^,]{0,3}lA{0,2}" + _ANY + r"{0,2}[Ggp]|W" + _ANY + r"{0,3}lA?[GgY]"),
     ("group_out", 4.4, r"[Gg][^,]{0,6}R[^,]{0,3}E|[Gg][^,]{0,2}E|E[^,]{0,3}A?[Gg]|n[Gg]p?"),
     ("out", 1.4, r"E"),
     ("out_should", 1.0, r"R[^,]{0,4}E"),
@@ -281,10 +284,10 @@ FEATURES = [
     ("wished_harm", 5.2, r"hA?[YHPGgp][^,T]{0,4}[FVE]"),
     ("should_suffer", 4.8, r"[YHPGgpLWI][^,T]{0,5}R[^,T]{0,3}(?:F|CV|CAV)|[YHPGgpLWI][^,T]{0,5}CR?V|R[^,T]{0,1}V[^,T]{0,2}[PGgY]|[Yp]lY[^,]{0,3}[RC]{0,2}[^,]{0,2}F"),
     ("dismissed", 5.0, r"K"),
-    ("someone_or_else", 1.0, r"K[^I]{0,8}[IWB]|[IW][^K]{0,8}K"),
+    ("someone_or_else", 1.0, r"K[^I]{0,8}[IWBb]|[IW][^K]{0,8}K"),
     ("sexual_toward", 5.4, r"S[OA]{0,2}[MYHP]|J[^,]{0,2}S|[MYH]S|S[^,T]{0,2}O[MHY]|MRSY|[YH][^,T]{0,2}RS"),
     ("sexual_act", 2.6, r"S"),
-    ("asks_nudity", 5.4, r"J[^,]{0,4}N|N[^,]{0,5}J[MY]|[yM]A?B?N|Y[^,]{0,2}N"),
+    ("asks_nudity", 5.4, r"J[^,]{0,4}N|N[^,]{0,5}J[MY]|[yM]A?[Bb]?N|Y[^,]{0,2}N"),
     ("nudity", 2.0, r"N"),
     ("suggestive", 1.4, r"s"),
     ("suggestive_toward", 3.2, r"J[^,]{0,4}s|s[^,]{0,3}O?M|sx?s,?s|y[^,]{0,4}s|[YM][^,]{0,6}s[^,]{0,5}s|Y[^,]{0,2}s[^,]{0,3}[OM]"),
@@ -294,13 +297,14 @@ FEATURES = [
 BIAS, CONTEXT = -4.0, -3.4
 PRIOR = np.array([BIAS, *[w for _, w, _ in FEATURES], CONTEXT])
 #: Classes of which a feature needs one.
-_NEEDS = {"insult": "I", "insult_used": "I", "addressed_insult": "I", "addressed_name": "W", "exclaimed_name": "WB", "person_is_name": "W", "group_is_name": "W", "all_are_name": "W", "name_like_group": "WB", "threat": "VF", "wished_harm": "VFE", "should_suffer": "VF", "dismissed": "K", "someone_or_else": "K", "sexual_toward": "S", "sexual_act": "S", "explicit": "SN", "asks_nudity": "N", "nudity": "N", "suggestive": "s", "suggestive_toward": "s"}
-_COMPILED = [(_NEEDS.get(n, "B" if n.endswith("bad") else "E"), re.compile(p)) for n, _, p in FEATURES]
+_NEEDS = {"insult": "I", "insult_used": "I", "addressed_insult": "I", "addressed_name": "W", "exclaimed_name": "WBb", "person_is_name": "W", "group_is_name": "W", "all_are_name": "W", "name_like_group": "WBb", "threat": "VF", "wished_harm": "VFE", "should_suffer": "VF", "dismissed": "K", "someone_or_else": "K", "sexual_toward": "S", "sexual_act": "S", "explicit": "SN", "asks_nudity": "N", "nudity": "N", "suggestive": "s", "suggestive_toward": "s"}
+_COMPILED = [(_NEEDS.get(n, "Bb" if n.endswith("bad") else "E"), re.compile(p)) for n, _, p in FEATURES]
 _KINDS = {"insult": ("insult", "addressed", "exclaimed", "person", "you_", "dismissed", "someone"), "hate": ("group", "all_", "name_like", "out"), "threat": ("threat", "wished", "should"), "sexual": ("sexual", "asks", "nudity", "suggestive", "explicit")}
 _KIND_OF = [next(k for k, heads in _KINDS.items() if n.startswith(heads)) for n, _, _ in FEATURES]
 _PROXY = {lang: [(kind, re.compile(r"(?<![a-z])(?:" + "|".join(many) + r")(?![a-z])")) for kind, many in kinds.items()] for lang, kinds in IDIOMS.items()}
 _STANDIN = {k: f"zq{k.lower()}{'u' if k.isupper() else 'l'}" for k in "IWBSsNVFEKAZ"}
-_HOT_CLASSES = frozenset("IWBSsNVFEK")
+_HOT_CLASSES = frozenset("IWBbSsNVFEK")
+_BREAK = re.compile("[,k]")
 
 
 def _anchors(lang: str) -> tuple[frozenset, tuple[str, ...]]:
@@ -319,6 +323,7 @@ def _anchors(lang: str) -> tuple[frozenset, tuple[str, ...]]:
 #: Words of idioms too common to look for, where another stands in the idiom.
 _COMMON = frozenset("a in to w your you with the off out on not get have had having me him her be been being to in my a of from up where is no over us know go by s die deine dein das auf den dich mir sie nie zu ich nicht la ta ton le les un de se que el tu te va vous faire je sais ou pas al il faut toi con para por no mi".split())
 _ANCHORS = {lang: _anchors(lang) for lang in LANGUAGES}
+_ALL_ANCHORS = frozenset().union(*(whole for whole, _ in _ANCHORS.values()))
 for _k, _w in _STANDIN.items():
     for _table in _FORMS.values():
         _table[_w] = _k
@@ -348,8 +353,8 @@ def features(line: str) -> np.ndarray:
         m = pattern.search(line)
         if m:
             x[k + 1] = 1
-            before = line[: m.start()].rsplit(",", 1)[-1][-8:]
-            after = line[m.end() :].split(",", 1)[0][:5]
+            before = _BREAK.split(line[: m.start()])[-1][-8:]
+            after = _BREAK.split(line[m.end() :], maxsplit=1)[0][:5]
             x[-1] += "Q" in before or "Q" in after or "Q" in m.group()
     x[-1] = min(3, x[-1])
     return x

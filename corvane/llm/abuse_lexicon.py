@@ -1,9 +1,9 @@
 """p8: the words the score looks at, by language and class. Accents are removed before matching.
 
-Classes: I insult, W name of a thing or beast given to people, B debasing adjective, K dismissal, V violence,
+Classes: I insult, W name of a thing or beast given to people, B debasing adjective, b a milder one, K dismissal, V violence,
 F death and harm, E exclusion, S sexual act, s suggestive word, N body or nudity, J demand, Y you, y your, M me,
 H they, P person, G group, p people, L quantifier, R should or will, h hope, C copula, A article or filler,
-l like, n negation, Z what a, Q context of rules, care, training or technology, T thing, O with or for, x conjunction or preposition. A word may stand for two classes.
+l like, n negation, Z what a, Q context of rules, care, training or technology, T thing, O with or for, k conjunction, x preposition and the like. A word may stand for two classes.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ WORDS = {
     "en": {
         "I": "idiot moron imbecile cretin asshole arsehole scumbag dickhead dumbass jackass wanker cunt motherfucker fucker shithead dipshit halfwit dimwit douchebag douche slut whore skank nitwit numbskull simpleton fuckface fuckwit bellend tosser twat bastard bitch retard prick pillock bimbo faggot nigger kike shitbag dumbfuck asshat nutjob lowlife cocksucker",
         "W": "loser pig swine trash garbage filth scum rat vermin cockroach parasite animal dog clown fool dunce leech snake worm maggot savage monkey ape thief thieves criminal disease plague cancer infection infestation pest subhuman turd weasel creep pervert liar coward freak hag cow toad slob tramp freeloader scrounger dirt disgrace ninny cockroaches ape locust beast terrorist",
-        "B": "pathetic filthy stupid ugly disgusting worthless rotten lazy dirty dumb fat useless vile repulsive brainless retarded inferior idiotic moronic stinking nasty greedy primitive degenerate smelly ignorant miserable contemptible revolting hideous spineless gutless clueless mindless uncivilized evil goddamn fucking bloody bleeding braindead trashy braindead",
+        "B": "pathetic filthy stupid ugly disgusting worthless dumb useless vile repulsive brainless retarded inferior idiotic moronic stinking primitive degenerate miserable contemptible revolting hideous spineless gutless clueless mindless uncivilized evil goddamn fucking braindead trashy braindead",
+        "b": "rotten lazy dirty fat nasty greedy smelly ignorant bloody bleeding",
         "V": "kill kills killed beat beats beaten hurt stab shoot shot strangle smash crush punch slap bash slaughter murder gut choke throttle rape behead hang cut skin torture poison break destroy slit",
         "F": "die dies dead bleed suffer rot burn perish ditch grave coffin morgue choke pay regret",
         "E": "deport deported deportation exterminate exterminated eradicate eradicated gassed sterilized expelled banned removed jailed shot eliminated lynched",
@@ -64,20 +65,21 @@ WORDS = {
         "N": "tits boobs pussy cock dick ass nude nudes naked penis vagina breasts nipples butt titties",
         "J": "send show give mail text let want wanna come bring flash sends shows",
         "Y": "you u ya thou yourself yourselves", "y": "your yer ur", "M": "i me my we us our im mine", "H": "he she him her they them his hers their those these",
-        "P": "boss recruiter manager clerk colleague lead supervisor guy man woman girl boy director ceo secretary coworker teammate person intern candidate applicant interviewer customer neighbour driver teacher lady",
+        "P": "whoever someone somebody boss recruiter manager clerk colleague lead supervisor guy man woman girl boy director ceo secretary coworker teammate person intern candidate applicant interviewer customer neighbour driver teacher lady",
         "G": "immigrant foreigner refugee migrant women woman black jew muslim christian arab asian african gay lesbian homosexual disabled cripple gypsy gypsies roma elderly race outsider mexican indian chinese jewish blacks whites queer trans hindu polish turk romanian foreigners",
-        "p": "people folk lot crew ones tribe applicants guys bunch families workers candidates men everyone", "L": "all every those these each such any",
+        "p": "seeker seekers fifty people folk lot crew ones tribe applicants guys bunch families workers candidates men everyone", "L": "all every those these each such any",
         "R": "should must ought deserve deserves will ll shall going gonna would wanna need needs", "h": "hope wish pray hopefully",
         "C": "are is re am was were be being s", "A": "a an the such just only so too born like complete total absolute utter real really little old big very always all nothing true damn another one by of nature",
         "l": "like", "n": "not never no nobody none dont don t cannot", "Z": "what", "O": "with for to on",
         "Q": "policy policies rule rules prohibit prohibits prohibited prohibition forbid forbids forbidden harass harassment prevent prevents prevention training workshop seminar report reports reporting reported moderate moderates moderation moderator moderators filter filters detect detects detection classify classifier screen screening education guideline guidelines conduct handbook tolerance complaint complaints victim victims survivor survivors counselling counsellor therapy clinic nurse nurses patient patients health court law definition term terms word words slur slurs label labels flag flags flagged slang language novel film history study studies research lab tolerate tolerated punish dismissed banned proof dataset support annotate annotated call called calls calling",
-        "x": "and or but who that which in at because if when than from after before",
+        "k": "and or but because", "x": "who that which in at if when than from after before",
         "T": "process processes deadline server servers task job jobs thread threads code bug bugs price prices product products software tool tools file files branch animal dog plant plants test tests system systems app machine machines data budget record records pipeline query target targets competitor competitors market",
     },
     "de": {
         "I": "idiot arschloch schwachkopf vollidiot dummkopf wichser miststuck hurensohn drecksau trottel dreckskerl missgeburt arschgeige blodmann vollpfosten scheisskerl depp volldepp spast fotze schlampe hure arsch wixer drecksack schweinehund kanake neger mistkerl flachzange penner scheissker",
         "W": "schwein schweine abschaum mull dreck ungeziefer ratte ratten versager parasit parasiten niete tiere tier diebe dieb verbrecher pest krankheit untermenschen untermensch schmarotzer seuche hund sau affe affen made maden zecke zecken loser luegner kakerlaken kakerlake kriminelle plage gesindel pack esel",
-        "B": "dumm dumme dummer dummes dreckig dreckige dreckiger dreckiges faul faule fauler minderwertig minderwertige blod blode bloder blodes hasslich hassliche ekelhaft ekelhafte widerlich widerliche widerlicher fett fette fettes erbarmlich erbarmliche erbarmlicher elend elende elender nutzlos nutzlose nutzloser verdammt verdammte verdammter wertlos wertloser stinkend stinkende primitiv verblodet",
+        "B": "dumm dumme dummer dummes minderwertig minderwertige blod blode bloder blodes hasslich hassliche ekelhaft ekelhafte widerlich widerliche widerlicher erbarmlich erbarmliche erbarmlicher elend elende elender nutzlos nutzlose nutzloser verdammt verdammte verdammter wertlos wertloser primitiv verblodet",
+        "b": "dreckig dreckige dreckiger dreckiges faul faule fauler fett fette fettes stinkend stinkende",
         "V": "umbringen toten schlagen schlage totschlagen verprugeln erschiessen erschossen erwurgen abstechen zusammenschlagen verprugle umbringe bringe tote mach fertigmachen brechen vergewaltigen aufschlitzen umlegen verhauen",
         "F": "sterben stirb verrecke verrecken verreck krepieren krepier tot verbrennen grab leiden bluten bereuen bereust",
         "E": "abgeschoben abschieben ausgerottet vergast eingesperrt weggesperrt rausgeworfen raus vertrieben verboten ausgewiesen vernichtet",
@@ -92,13 +94,14 @@ WORDS = {
         "C": "bist seid sind ist war waren", "A": "ein eine einen einer eines so nur doch alle nichts als zu echt total wirklich richtig ganz von natur aus die der das ja wieder alles",
         "l": "wie", "n": "nicht nie niemals kein keine nichts", "Z": "welch welche", "O": "mit fur auf",
         "Q": "richtlinie richtlinien verbietet verboten belastigung seminar schulung regel regeln beratung labor filter moderation erkennt erkennung leitfaden pravention gericht gesetz begriff wort opfer klinik pflege patienten studie untersuchung untersuchen tierarzt",
-        "x": "und oder aber weil wenn in an bei vor nach",
+        "k": "und oder aber weil", "x": "wenn in an bei vor nach",
         "T": "prozess server code projekt maschine software produkt termin labor",
     },
     "fr": {
         "I": "abruti abrutie connard connarde connasse salope salopard salaud encule cretin cretine debile enfoire petasse pouffiasse raclure imbecile idiot idiote batard trouduc putain pute tapette bougnoule bouffon branleur ordure",
         "W": "pourriture porc cochon chien chienne dechet vermine cafard nul nulle minable larve parasite rat voleur sauvage racaille animaux peste maladie truie rats merde nullite singe criminel cancer fleau nuisible betes ordures animal lache",
-        "B": "sale stupide degueulasse bete laid laide gros grosse paresseux moche inutile pitoyable repugnant repugnante puant puante inferieur ignoble feignant pauvre degoutant minable",
+        "B": "stupide degueulasse bete laid laide moche inutile pitoyable repugnant repugnante inferieur ignoble degoutant minable",
+        "b": "sale gros grosse paresseux puant puante feignant pauvre",
         "V": "tuer frapper casser egorger etrangler massacrer tabasser cogner battre defoncer violer poignarder bruler planter",
         "F": "crever creve mourir meurs meure bruler souffrir souffres mort regretter pourrir brules saigner",
         "E": "expulser expulses dehors virer renvoyer renvoyes enfermer enfermes exterminer extermines chasser embaucher embauchez gazer eliminer interdits",
@@ -113,13 +116,14 @@ WORDS = {
         "C": "es est etes sont suis etait etaient etre", "A": "un une des de la le du qu trop vraiment si tellement espece vrai vraie petit petite pauvre sacre grand d l que tout tous",
         "l": "comme", "n": "pas jamais ne n aucun aucune rien", "Z": "quel quelle", "O": "avec pour",
         "Q": "charte interdit interdits harcelement formation reglement regle prevention signalement signaler victime victimes filtre moderation detecter terme mot loi tribunal soins clinique patients laboratoire atelier etude",
-        "x": "et ou mais qui parce si dans en chez apres avant",
+        "k": "et ou mais", "x": "qui parce si dans en chez apres avant",
         "T": "serveur serveurs processus projet code logiciel machine produit delai",
     },
     "es": {
         "I": "cabron cabrona imbecil pendejo pendeja gilipollas estupido estupida idiota malparido mamon maricon bastardo hijoputa zorra puta puto capullo subnormal mamarracho desgraciado desgraciada hijueputa culero pajero retrasado payaso",
         "W": "cerdo cerda basura escoria rata perra perro plaga inutil asqueroso asquerosa gusano parasito alimana animal peste criminal bicho enfermedad ladron ladrones delincuente mierda burro cucaracha cancer fracasado fracasada lacra animales salvaje",
-        "B": "tonto tonta sucio sucia vago vaga inferior asqueroso asquerosa feo fea gordo gorda patetico patetica maldito maldita puro pura apestoso repugnante ignorante miserable tontos sucios vagos inferiores despreciable",
+        "B": "tonto tonta inferior asqueroso asquerosa patetico patetica maldito maldita puro pura apestoso repugnante ignorante miserable tontos inferiores despreciable",
+        "b": "sucio sucia vago vaga feo fea gordo gorda sucios vagos",
         "V": "matar matare pegar romper golpear apunalar estrangular destrozar violar degollar quemar machacar reventar partir",
         "F": "morir mueras mueran muerto muerta muere pudras pudrete sufrir arder tumba arrepentir arrepentiras muerte sangrar",
         "E": "deportar deportados expulsar expulsados fuera eliminar exterminar exterminados encerrados encerrar prohibidos echar contraten",
@@ -134,7 +138,7 @@ WORDS = {
         "YC": "eres sois", "C": "es son soy era eran ser estas", "A": "un una unos unas el la los las muy tan todo todos de del lo verdadero pobre que mas nada solo",
         "l": "como", "n": "no nunca jamas ni ningun", "Z": "que", "O": "con para por",
         "Q": "reglamento prohibe acoso prohibido politica formacion curso taller denuncia denuncias victima victimas filtro moderacion detectar termino palabra ley tribunal clinica pacientes prevencion laboratorio estudio",
-        "x": "humana humano y o pero porque si en cuando despues antes",
+        "k": "y o pero porque", "x": "humana humano si en cuando despues antes",
         "T": "servidor proceso sistema sistemas procesos proyecto codigo maquina producto plazo",
     },
 }
@@ -154,7 +158,7 @@ def forms() -> dict[str, dict[str, str]]:
     out: dict[str, dict[str, str]] = {}
     for lang in LANGUAGES:
         table: dict[str, str] = {}
-        order = [*"IKSNVFEWBGsQJPpYyMHRhCnlZOLTAx", "YC"]
+        order = [*"IKSNVFEWBbGsQJPpYyMHRhCnlZOLTAkx", "YC"]
         for kind in order:
             for w in WORDS[lang].get(kind, "").split():
                 table.setdefault(w, kind)
