@@ -1,12 +1,12 @@
 from pyspark.sql import functions as F
 
-from corvane.operators.packed import Parser, name_pattern, unpack, value_codes
+from corvane.operators.packed import Codes, Parser, name_pattern, unpack, value_codes
 
 NAMES = name_pattern(["ui/ux design", "health, safety and environment", "java", "data structures and algorithms", None])
 
 
 def parse(text, codes=None):
-    return Parser(NAMES, codes or {}).parse(text)
+    return Parser(NAMES, codes).parse(text)
 
 
 def test_separators_and_protection():
@@ -32,8 +32,19 @@ def test_nothing_and_repeats():
 
 def test_code_lengths_follow_the_column(spark):
     df = spark.createDataFrame([("a, b",), ("a",), ("A; c",), (None,), ("",)], "x string")
-    codes = value_codes(df, "x")
-    assert codes.keys() == {"a"} and abs(codes["a"] - 0.7369655941662062) < 1e-9
+    codes = value_codes(df, {"x": ""})["x"]
+    assert codes.values.keys() == {"a", "b", "c"} and abs(codes.values["a"] - 0.7369655941662062) < 1e-9
+    assert codes.rare > 3 and codes.literal > 3
+
+
+def test_the_code_table_decides():
+    names = name_pattern(["data and structures"])
+    frequent = {"data and structures": 5.0, "data": 20.0, "structures": 20.0}
+    assert Parser(names, Codes(frequent)).parse("data and structures, x") == ["data and structures", "x"]
+    assert Parser(names, Codes({"data and structures": 20.0, "data": 4.0, "structures": 4.0})).parse("data and structures, x") == ["data", "structures", "x"]
+    assert Parser("", Codes({"a/b": 2.0}, 8, 4)).parse("a/b") == ["a/b"] and Parser("", Codes({"a": 2.0, "b": 2.0}, 8, 4)).parse("a/b") == ["a", "b"]
+    quoted = '"ui/ux designer (12 months, hybrid)"'
+    assert Parser("").parse(quoted) == [quoted[1:-1]]
 
 
 def test_unpack_positions_empty_table_and_other_columns(spark):
