@@ -89,6 +89,30 @@ def test_records_without_allocation_are_scanned(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == brute_groups(texts, 3, 0.5, 25)[0]
 
 
+def test_hot_keys_are_dealt_out_and_lose_nothing(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = [f"b{i}" for i in range(30)]  # half of every record
+    texts = {f"r{i:03d}": " ".join(shared + [f"w{rng.randrange(900)}" for _ in range(rng.randint(10, 45))]) for i in range(260)}
+    texts |= {f"s{i:03d}": edited(rng, texts[f"r{i:03d}"].split()) for i in range(60)}
+    df = spark.createDataFrame(list(texts.items()), "id string, t string")
+    wanted = brute_groups(texts, 3, 0.5, 25)[0]
+    real = neardup._deal
+    monkeypatch.setattr(neardup._Costs, "of", lambda self, keys, table: np.ones(len(keys)))  # costs do not avoid the hot keys
+    monkeypatch.setattr(neardup, "HOT", 0.001)
+    groups = defaultdict(set)
+    for r in neardup.near_duplicates(df, "id", "t", 3, 0.5, 25).collect():
+        groups[r.group_id].add(r.id)
+    assert {frozenset(g) for g in groups.values()} == wanted
+    n = 200_000
+    key = np.where(np.arange(n) % 2 == 0, np.uint64(7 << 44), neardup._mix(np.arange(n).astype(np.uint64)))
+    flag = np.full(n, 3, np.uint8)
+    flag[::4] = 2
+    k, who, f, bucket = real(key, np.arange(n), flag, np.arange(n), np.where(key == np.uint64(7 << 44), 32, 1), 64)
+    held = np.bincount(bucket[(f & 2) > 0], minlength=64)
+    assert held.max() <= 3 * np.median(held) and held.sum() == n
+    assert ((f & 1) > 0).sum() == ((flag & 1) > 0)[key != np.uint64(7 << 44)].sum() + 32 * ((flag & 1) > 0)[key == np.uint64(7 << 44)].sum()
+
+
 def test_many_lone_records_of_one_partition_are_all_scanned(spark, monkeypatch):
     real = neardup._allocate
 
