@@ -31,8 +31,8 @@ from corvane.session import written
 DIMS, FIRST, MISS = 8, 3, 0.02
 #: Leaves a vector may see in the first round of further trees, and the factor from round to round.
 LEAVES, WIDER = 8, 8
-#: Bits of a leaf inside its block: a vector that searches several leaves of a block is sent there once, with a mask.
-BLOCK = 2
+#: Bits of a leaf inside its block: a vector that searches several leaves of a block is sent there once, with a mask. A block of 16 leaves holds about 16 MB.
+BLOCK = 4
 #: Searching vectors that one task should hold with a block, and (vector, leaf) cells weighed at once.
 ASKERS, CELLS = 50_000, 1 << 18
 #: Vectors a leaf should hold, and the bound of the sample the trees are fitted on (at least LEAST_SAMPLE a node).
