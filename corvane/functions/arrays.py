@@ -32,10 +32,36 @@ def split_keep(x: Column) -> Column:
 
 def json_list(x: Column) -> Column:
     """Items of a JSON list of strings; what is no list is one item; without repeats in any casing."""
-    y = F.trim(empty(x))
+    y = squash(x)
     return ci_dedup(F.when(y == "", F.array().cast("array<string>")).otherwise(F.coalesce(F.from_json(y, "array<string>"), F.array(y))))
 
 
+def list_field(x: Column) -> Column:
+    """Items of a list in JSON or quoted by single quotes, else of comma-separated values; lower-cased, without blanks; repeats stay."""
+    y = squash(x)
+    listed = F.filter(F.transform(F.from_json(y, "array<string>"), squash_lower), lambda v: v != "")
+    return F.when(F.lower(y).isin("", "nan", "[]"), F.array().cast("array<string>")).otherwise(F.coalesce(listed, split_keep(x)))
+
+
+def json_dict(x: Column) -> Column:
+    """A JSON object as a map of texts; anything else is an empty map."""
+    return F.coalesce(F.from_json(x, "map<string,string>"), F.create_map().cast("map<string,string>"))
+
+
+def metadata_skills(x: Column) -> Column:
+    """The list `skills` of a metadata object, lower-cased, without blanks; empty where there is none."""
+    return F.coalesce(F.filter(F.transform(F.from_json(x, "skills array<string>")["skills"], squash_lower), lambda v: v != ""), F.array().cast("array<string>"))
+
+
+def optional_float(x: Column) -> Column:
+    return F.nullif(squash(x), F.lit("")).try_cast("double")
+
+
+def first_number(*xs: Column) -> Column:
+    """The first of the texts that is a number."""
+    return F.coalesce(*[optional_float(x) for x in xs])
+
+
 def merge_unique(base: Column, extra: Column) -> Column:
     """base as it is, then the items of extra that base does not hold in any casing."""
     return F.concat(base, F.filter(ci_dedup(extra), lambda x: ~F.array_contains(F.transform(base, F.lower), F.lower(x))))
@@ -52,7 +78,7 @@ def skill_levels(x: Column) -> Column:
         pattern = r"^(.+?)\s*\((.+?)\)"
         skill = F.when(item.rlike(pattern), F.regexp_extract(item, pattern, 1)).otherwise(item)
         level = F.when(item.rlike(pattern), F.regexp_extract(item, pattern, 2)).otherwise(F.lit("unknown"))
-        return F.struct(F.lower(F.trim(skill)).alias("skill"), F.lower(F.trim(level)).alias("level"))
+        return F.struct(squash_lower(skill).alias("skill"), squash_lower(level).alias("level"))
 
     return F.transform(F.filter(F.transform(F.split(empty(x), ","), squash), lambda v: v != ""), one)
 
@@ -68,7 +94,7 @@ def last_wins(pairs: Column) -> Column:
 
 
 def first_present(*xs: Column) -> Column:
-    return F.coalesce(*[F.when(F.trim(x) != "", x) for x in xs])
+    return F.coalesce(*[F.when(squash(x) != "", x) for x in xs])
 
 
 def has_any(text: Column, words: list[str]) -> Column:

@@ -126,3 +126,26 @@ def years(x: Column) -> Column:
 def words(x: Column) -> Column:
     """Number of words."""
     return F.size(F.filter(F.split(empty(x), r"(?U)\s+"), lambda w: w != "")).cast("long")
+
+
+def rerank_text(text: Column, title: Column, source: Column, industry: Column, location: Column) -> Column:
+    """What a reranker reads of a chunk: 1,500 characters of its text, or 512 of title, source, industry and location where it has none."""
+    rest = F.concat_ws(" | ", *[F.nullif(squash(x), F.lit("")) for x in (title, source, industry, location)])
+    return F.when(squash(text) != "", F.substring(strip(text), 1, 1500)).otherwise(F.substring(rest, 1, 512))
+
+
+def match_text(*fields: Column) -> Column:
+    """The fields of a result as one lower-case text; nulls are left out."""
+    return F.lower(F.concat_ws(" ", *fields))
+
+
+def parent_id(chunk_id: Column) -> Column:
+    """The id a chunk was made from: without the name of its source and without its section."""
+    return F.element_at(F.split(F.regexp_replace(chunk_id, "^(?:profile|demand|jd)_", ""), "_"), 1)
+
+
+def hashed(text: Column, width: int = 64) -> Column:
+    """A text as a unit vector of `width` numbers without a model: its tokens counted by digest. Texts without tokens give zeros."""
+    slots = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % width).cast("int"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return F.transform(F.array(counts), lambda c: F.transform(c, lambda v: v / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, w: a + w * w)), F.lit(1e-12))))[0]

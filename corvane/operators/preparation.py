@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import arrays as A
 from corvane.functions import text as X
 from corvane.functions import vocab as V
+from corvane.session import written
 from corvane.sources.tables import one_per_key
 
 JD_LISTS = ["responsibilities", "must_have_skills", "preferred_skills", "soft_skills", "technologies", "tools", "education", "experience", "certifications"]
@@ -129,10 +130,12 @@ def bullets(sectioned: DataFrame, key: str, body: str = "body", kind: str = "kin
     return rows.withColumn("class", cls)
 
 
-def _chunk(key: Column, parent: Column, source: str, kind: str, title: Column, place: Column, industry: Column, text: Column, skills: Column) -> Column:
+def _chunk(key: Column, parent: Column, source: str, kind: str, title: Column, place: Column, industry: Column, text: Column, skills: Column, more: dict[str, Column]) -> Column:
+    """A chunk row. metadata is a JSON object with sorted keys: source, parent_id, chunk_type and `more`."""
+    known = {"source": F.lit(source), "parent_id": parent, "chunk_type": F.lit(kind), **more}
     return F.struct(
         key.alias("chunk_id"), parent.alias("parent_id"), F.lit(source).alias("source"), F.lit(kind).alias("chunk_type"), title.alias("title"), place.alias("location"),
-        industry.alias("industry"), text.alias("text"), F.to_json(F.struct(skills.alias("skills"), F.lit(source).alias("source"))).alias("metadata"), skills.alias("skills"),
+        industry.alias("industry"), text.alias("text"), F.to_json(F.struct(*[known[k].alias(k) for k in sorted(known)])).alias("metadata"), skills.alias("skills"),
     )
 
 
@@ -143,28 +146,36 @@ def _none() -> Column:
 def profile_chunks(profiles: DataFrame) -> DataFrame:
     c = F.col
     text = X.labelled(("Roles", F.array_join("roles", ", ")), ("Experience", F.concat(c("years_of_experience").cast("string"), F.lit(" years"))), ("Skills", F.array_join("all_skills", ", ")), ("Summary", c("skill_summary")))
-    one = _chunk(F.concat(F.lit("profile_"), c("id")), c("id"), "profile", "profile", F.array_join("roles", ", "), F.lit(""), F.lit(""), text, c("all_skills"))
+    one = _chunk(F.concat(F.lit("profile_"), c("id")), c("id"), "profile", "profile", F.array_join("roles", ", "), F.lit(""), F.lit(""), text, c("all_skills"), {"candidate_id": c("id"), "experience": c("years_of_experience").cast("string"), "skills": c("all_skills"), "roles": c("roles")})
     return profiles.select(one.alias("x")).select("x.*")
 
 
 def demand_chunks(demands: DataFrame) -> DataFrame:
     c = F.col
     text = X.labelled(("Job Title", c("job_title")), ("Location", c("location")), ("Skills", F.array_join("all_skills", ", ")), ("Experience", F.concat_ws(" - ", c("experience_lower").cast("string"), c("experience_upper").cast("string"))))
-    one = _chunk(F.concat(F.lit("demand_"), c("id")), c("id"), "demand", "demand", c("job_title"), c("location"), F.lit(""), text, c("all_skills"))
+    one = _chunk(F.concat(F.lit("demand_"), c("id")), c("id"), "demand", "demand", c("job_title"), c("location"), F.lit(""), text, c("all_skills"), {"job_title": c("job_title"), "location": c("location"), "skills": c("all_skills")})
     return demands.select(one.alias("x")).select("x.*")
 
 
 def description_chunks(descriptions: DataFrame) -> DataFrame:
-    """Up to five chunks of each description in one pass; empty ones are skipped. Their skills stay empty."""
+    """Up to five chunks of each description in one pass; empty ones are skipped. Their skills stay empty, the lists stand in metadata."""
     c = F.col
+    rest = c("other_requirements") if "other_requirements" in descriptions.columns else _none()
+    head = {"job_title": c("job_title"), "industry": c("industry"), "location": c("location")}
+    more = {
+        "header": {}, "responsibilities": {"section": F.lit("responsibilities"), "item_count": F.size("responsibilities")},
+        "skills": {n: c(n) for n in ("must_have_skills", "preferred_skills", "soft_skills", "technologies", "tools")},
+        "qualification": {n: c(n) for n in ("education", "experience", "certifications")},
+        "other": {"section": F.lit("other_requirements"), "item_count": F.size(rest)},
+    }
     texts = {
         "header": X.labelled(("Job Title", c("job_title")), ("Industry", c("industry")), ("Location", c("location"))),
         "responsibilities": X.labelled_lists(("Responsibilities", c("responsibilities"))),
         "skills": X.labelled_lists(("Must Have Skills", c("must_have_skills")), ("Preferred Skills", c("preferred_skills")), ("Soft Skills", c("soft_skills")), ("Technologies", c("technologies")), ("Tools", c("tools"))),
         "qualification": X.labelled_lists(("Education", c("education")), ("Experience", c("experience")), ("Certifications", c("certifications"))),
-        "other": X.labelled_lists(("Other Requirements", c("other_requirements") if "other_requirements" in descriptions.columns else _none())),
+        "other": X.labelled_lists(("Other Requirements", rest)),
     }
-    slots = [F.when(t != "", _chunk(F.concat(F.lit("jd_"), c("jd_id"), F.lit(f"_{k}")), c("jd_id"), "jd", f"jd_{k}", c("job_title"), c("location"), c("industry"), t, _none())) for k, t in texts.items()]
+    slots = [F.when(t != "", _chunk(F.concat(F.lit("jd_"), c("jd_id"), F.lit(f"_{k}")), c("jd_id"), "jd", f"jd_{k}", c("job_title"), c("location"), c("industry"), t, _none(), head | more[k])) for k, t in texts.items()]
     return descriptions.select(F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("x")).select("x.*")
 
 
@@ -177,6 +188,65 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
 
 
+BUCKETS = {
+    "responsibility": "responsibilities", "must_have_skill": "must_have_skills", "preferred_skill": "preferred_skills", "soft_skill": "soft_skills", "certification": "certifications",
+    "education": "education", "experience": "experience", "technology": "technologies", "tool": "tools",
+}
+
+
+def assembled(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, bucket, items): markdown or plain descriptions as lists of items by bucket.
+
+    Sections are picked by their aliases. A text in which none of the three kinds has content is split by the
+    headings it holds without markdown. Bullets are classified one by one; items keep their order, repeats in any
+    casing are dropped (first casing stays). Null and blank texts give no row.
+    """
+    rows = docs.select(key, F.col(text).alias("_text")).where(F.col(text).isNotNull())
+    picked = section_kinds(sections(rows, key, "_text"), key)
+    plain = rows.join(picked.select(key).distinct(), key, "left_anti").select(key, F.posexplode(F.split("_text", LINE_BREAK)).alias("pos", "line")).where(X.strip(F.col("line")) != "")
+    lines = running_sections(plain, key, "pos", "line").groupBy(key, "kind").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
+    split = lines.select(key, "kind", F.array_join(F.transform("x", lambda v: v["line"]), "\n").alias("body"))
+    items = bullets(picked.select(key, "kind", "body").unionByName(split), key)
+    name = F.create_map(*[F.lit(x) for kv in BUCKETS.items() for x in kv])
+    order = F.when(F.col("kind") == "responsibilities", 0).when(F.col("kind") == "skills", 1).otherwise(2)
+    got = items.groupBy(key, name[F.col("class")].alias("bucket")).agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), "pos", "item"))).alias("x"))
+    return got.select(key, "bucket", A.ci_dedup(F.transform("x", lambda v: v["item"])).alias("items"))
+
+
+def violations(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """(check, rows) of a chunk table before it is embedded or indexed: what must be 0, in one pass and one count of keys."""
+    c = F.col
+    one = chunks.agg(F.count(F.lit(1)).alias("rows"), F.count_if(c(key).isNull() | (F.trim(c(key)) == "")).alias("no id"), F.count_if(c(text).isNull()).alias("null text"), F.count_if(F.trim(c(text)) == "").alias("blank text"))
+    twice = repeated_keys(chunks.where(c(key).isNotNull()), key).agg(F.count(F.lit(1)).alias("repeated id"))
+    one = one.join(twice)  # one row each
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("check"), c(n).alias("rows")) for n in ("rows", "no id", "null text", "blank text", "repeated id")])).alias("x")).select("x.*")
+
+
+def checked(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
+    """The chunks, or ValueError: needed columns, at least one row, ids present and once, texts present and not blank."""
+    require_columns(chunks, [key, text])
+    found = {r.check: r.rows for r in violations(chunks, key, text).collect()}
+    if not found["rows"]:
+        raise ValueError("no chunks")
+    bad = [f"{n}: {k}" for n, k in found.items() if n != "rows" and k]
+    if bad:
+        raise ValueError("; ".join(bad))
+    return chunks
+
+
+def dense_ids(df: DataFrame, key: str, name: str = "dense_id") -> DataFrame:
+    """df with the numbers 0 .. n - 1 in the order of key (ties by no rule), without one task that sorts all.
+
+    Range partitions are sorted on their own and shifted by the counts of those before, of which there are as many
+    as shuffle partitions.
+    """
+    placed = written(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()), "ranges")
+    counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("_low"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shift = counts.select("_p", "_low", before.alias("_before"))  # a row a partition
+    return placed.join(F.broadcast(shift), "_p").withColumn(name, F.col("_before") + F.col("_i") - F.col("_low")).drop("_p", "_i", "_low", "_before")
+
+
 def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
     missing = [c for c in needed if c not in df.columns]
     if missing:

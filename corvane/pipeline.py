@@ -19,11 +19,11 @@ from corvane.operators import ranking as K
 from corvane.operators import retrieval as R
 
 
-def run(queries: DataFrame, chunks: DataFrame, index: R.Index | None = None, k: int = V.FINAL, logit=None) -> DataFrame:
+def run(queries: DataFrame, chunks: DataFrame, index: R.Index | None = None, k: int = V.FINAL, logit=None, sets: DataFrame | None = None) -> DataFrame:
     """Explained results of queries (query_id, query) over chunks (chunk_id, source, text, skills as comma list).
 
     The dataset searched follows from the intent read from the query. Queries without a result give no
-    row. Blank queries are an error.
+    row. Blank queries are an error. index and sets: those of the chunks, written before, if there are any.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -37,8 +37,9 @@ def run(queries: DataFrame, chunks: DataFrame, index: R.Index | None = None, k:
     expansion = G.expand(seeds, G.ontology_edges(spark))
     searched = U.expanded_text(read.select("query_id", "query", "source"), expansion).select("query_id", F.col("expanded_query").alias("query"), "source")
     index = index or R.index(chunks)
-    skills = chunks.select("chunk_id", "source", F.col("skills").alias("text"))
-    fused = R.fuse({"bm25": R.bm25(index, searched), "semantic": R.set_cosine(R.sets(index, skills), searched)})
+    if sets is None:
+        sets = R.sets(index, chunks.select("chunk_id", "source", F.col("skills").alias("text")))
+    fused = R.fuse({"bm25": R.bm25(index, searched), "semantic": R.set_cosine(sets, searched)})
     rows = fused.join(chunks.select("chunk_id", "source", "text"), "chunk_id").join(read.select("query_id", "query"), "query_id")
     own = chunks.select("chunk_id", A.split_keep(F.col("skills")).alias("skills"))
     ranked = K.rerank(K.combine(K.evidence(rows, own, seeds, expansion)), logit, k=k)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corvane.plans import packed_queries, prep_queries, search_queries
+from corvane.plans import packed_queries, prep_queries, report_queries, search_queries
 
-MODULES = [packed_queries, prep_queries, search_queries]
+MODULES = [packed_queries, prep_queries, search_queries, report_queries]
 
 
 def queries() -> dict:

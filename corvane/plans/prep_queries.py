@@ -169,9 +169,9 @@ QUERIES = {
     "section_kinds": lambda s, d: P.section_kinds(P.sections(P.markdown_of(descriptions(s, d)), "jd_id", "text"), "jd_id"),
     "section_running": lambda s, d: P.running_sections(P.markdown_of(descriptions(s, d)).select("jd_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where("trim(line) <> ''"), "jd_id", "pos", "line"),
     "bullet_classify": lambda s, d: P.bullets(P.section_kinds(P.sections(P.markdown_of(descriptions(s, d)), "jd_id", "text"), "jd_id"), "jd_id"),
-    "profile_chunks": lambda s, d: P.profile_chunks(profiles(s, d)).drop("metadata").withColumn("skills", F.array_join("skills", "|")),
-    "demand_chunks": lambda s, d: P.demand_chunks(demands(s, d)).drop("metadata").withColumn("skills", F.array_join("skills", "|")),
-    "description_chunks": lambda s, d: P.description_chunks(descriptions(s, d)).drop("metadata", "skills"),
+    "profile_chunks": lambda s, d: P.profile_chunks(profiles(s, d)).withColumn("skills", F.array_join("skills", "|")),
+    "demand_chunks": lambda s, d: P.demand_chunks(demands(s, d)).withColumn("skills", F.array_join("skills", "|")),
+    "description_chunks": lambda s, d: P.description_chunks(descriptions(s, d)).drop("skills"),
     "chunk_counts": lambda s, d: chunks(s, d).groupBy("source", "chunk_type").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg(X.words(F.col("text"))), 4).alias("mean_words")),
     "chunk_repeats": lambda s, d: P.repeated_keys(chunks(s, d), "chunk_id"),
 }
@@ -180,16 +180,29 @@ _ROLES, _SKILLS, _P, _S = (f"array_to_string({c}, ', ')" for c in ("roles", "all
 _YEARS = "years_of_experience || ' years'"
 _RANGE = "experience_lower || ' - ' || experience_upper"
 _WORDS = f"len(list_filter(string_split(regexp_replace(coalesce(text, ''), '{_WS}+', ' ', 'g'), ' '), lambda w: w <> ''))"
-_PCH = f"SELECT 'profile_' || id AS chunk_id, id AS parent_id, 'profile' AS source, 'profile' AS chunk_type, array_to_string(roles, ', ') AS title, '' AS location, '' AS industry, {q_labelled(('Roles', _ROLES), ('Experience', _YEARS), ('Skills', _SKILLS), ('Summary', 'skill_summary'))} AS text, array_to_string(all_skills, '|') AS skills FROM clean_profiles"
-_DCH = f"SELECT 'demand_' || id AS chunk_id, id AS parent_id, 'demand' AS source, 'demand' AS chunk_type, job_title AS title, location, '' AS industry, {q_labelled(('Job Title', 'job_title'), ('Location', 'location'), ('Skills', _SKILLS), ('Experience', _RANGE))} AS text, array_to_string(all_skills, '|') AS skills FROM clean_demands"
+
+
+
+def _meta(source: str, kind: str, key: str, **more: str) -> str:
+    known = {"source": f"'{source}'", "parent_id": key, "chunk_type": f"'{kind}'", **more}
+    return "CAST(to_json({" + ", ".join(f"'{k}': {known[k]}" for k in sorted(known)) + "}) AS VARCHAR) AS metadata"
+
+
+_PCH = f"SELECT 'profile_' || id AS chunk_id, id AS parent_id, 'profile' AS source, 'profile' AS chunk_type, array_to_string(roles, ', ') AS title, '' AS location, '' AS industry, {q_labelled(('Roles', _ROLES), ('Experience', _YEARS), ('Skills', _SKILLS), ('Summary', 'skill_summary'))} AS text, {_meta('profile', 'profile', 'id', candidate_id='id', experience='CAST(years_of_experience AS VARCHAR)', skills='all_skills', roles='roles')}, array_to_string(all_skills, '|') AS skills FROM clean_profiles"
+_DCH = f"SELECT 'demand_' || id AS chunk_id, id AS parent_id, 'demand' AS source, 'demand' AS chunk_type, job_title AS title, location, '' AS industry, {q_labelled(('Job Title', 'job_title'), ('Location', 'location'), ('Skills', _SKILLS), ('Experience', _RANGE))} AS text, {_meta('demand', 'demand', 'id', job_title='job_title', location='location', skills='all_skills')}, array_to_string(all_skills, '|') AS skills FROM clean_demands"
 _SLOTS = {
     "header": q_labelled(("Job Title", "job_title"), ("Industry", "industry"), ("Location", "location")),
     "responsibilities": q_lists(("Responsibilities", "responsibilities")),
     "skills": q_lists(("Must Have Skills", "must_have_skills"), ("Preferred Skills", "preferred_skills"), ("Soft Skills", "soft_skills"), ("Technologies", "technologies"), ("Tools", "tools")),
     "qualification": q_lists(("Education", "education"), ("Experience", "experience"), ("Certifications", "certifications")),
 }
-_JCH = " UNION ALL ".join(f"SELECT * FROM (SELECT 'jd_' || jd_id || '_{k}' AS chunk_id, jd_id AS parent_id, 'jd' AS source, 'jd_{k}' AS chunk_type, job_title AS title, location, industry, {t} AS text FROM jd) WHERE text <> ''" for k, t in _SLOTS.items())
-_ALL = f"WITH {Q_PK}, {Q_PROFILES}, {Q_DEMANDS}, {Q_JD}, chunks AS (SELECT chunk_id, parent_id, source, chunk_type, title, location, industry, text FROM ({_PCH}) UNION ALL SELECT chunk_id, parent_id, source, chunk_type, title, location, industry, text FROM ({_DCH}) UNION ALL {_JCH})"
+_HEADM = {"job_title": "job_title", "industry": "industry", "location": "location"}
+_MORE = {
+    "header": {}, "responsibilities": {"section": "'responsibilities'", "item_count": "len(responsibilities)"},
+    "skills": {c: c for c in ("must_have_skills", "preferred_skills", "soft_skills", "technologies", "tools")}, "qualification": {c: c for c in ("education", "experience", "certifications")},
+}
+_JCH = " UNION ALL ".join(f"SELECT * FROM (SELECT 'jd_' || jd_id || '_{k}' AS chunk_id, jd_id AS parent_id, 'jd' AS source, 'jd_{k}' AS chunk_type, job_title AS title, location, industry, {t} AS text, {_meta('jd', f'jd_{k}', 'jd_id', **_HEADM, **_MORE[k])} FROM jd) WHERE text <> ''" for k, t in _SLOTS.items())
+_ALL = f"WITH {Q_PK}, {Q_PROFILES}, {Q_DEMANDS}, {Q_JD}, chunks AS (SELECT * EXCLUDE (skills) FROM ({_PCH}) UNION ALL SELECT * EXCLUDE (skills) FROM ({_DCH}) UNION ALL {_JCH})"
 _NONE = "upper(y) IN ('N/A', 'NA', '-', 'NONE', 'NULL', '')"
 _BUL = r"regexp_replace(trim(v), '^[-•*+]\s*', '')"
 _HEAD = "|".join(V.SUB_HEADERS)
