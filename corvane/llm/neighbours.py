@@ -31,14 +31,14 @@ from corvane.session import written
 DIMS, FIRST, MISS = 8, 3, 0.02
 #: Leaves a vector may see in the first round of further trees, and the factor from round to round.
 LEAVES, WIDER = 8, 8
-#: Bits of a leaf inside its block: a vector that searches several leaves of a block is sent there once, with a mask. A block of 16 leaves holds about 16 MB.
-BLOCK = 4
+#: Bits of a leaf inside its block: a vector that searches several leaves of a block is sent there once, with a mask.
+BLOCK = 2
 #: Searching vectors that one task should hold with a block, and (vector, leaf) cells weighed at once.
 ASKERS, CELLS = 50_000, 1 << 18
 #: Vectors a leaf should hold, and the bound of the sample the trees are fitted on (at least LEAST_SAMPLE a node).
 LEAF, SAMPLE, LEAST_SAMPLE = 4_000, 20_000, 24
 SEED = 11
-#: Copies up to this many are dropped by a broadcast list, more by a shuffled join.
+#: Repeated rows and copies up to this many are dropped by a broadcast list, more by a shuffled join.
 MAX_BROADCAST = 100_000
 
 
@@ -154,16 +154,33 @@ def _within(z: np.ndarray) -> np.ndarray:
     return (1 + erf) / 2
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Vectors as a 32-bit scale and 12 bits a component: about the error of 16-bit floats in three quarters of the bytes."""
+    x = np.pad(x, ((0, 0), (0, x.shape[1] % 2)))
+    scale = (np.abs(x).max(axis=1) / 2047).astype("<f4")
+    u = (np.rint(x / scale[:, None]).astype(np.int32) + 2048).astype(np.uint32)
+    pair = u[:, ::2] << 12 | u[:, 1::2]
+    body = np.stack([pair >> 16, pair >> 8 & 255, pair & 255], axis=2).astype(np.uint8).reshape(len(x), -1)
+    return [r.tobytes() for r in np.concatenate([scale.view(np.uint8).reshape(-1, 4), body], axis=1)]
+
+
 def _halves(column) -> np.ndarray:
+    """Packed vectors as 32-bit floats."""
     blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.float16).reshape(len(blobs), -1).astype(np.float32) if blobs else np.zeros((0, 1), np.float32)
+    if not blobs:
+        return np.zeros((0, 2), np.float32)
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(len(blobs), -1)
+    scale = np.ascontiguousarray(raw[:, :4]).view("<f4")
+    three = raw[:, 4:].reshape(len(raw), -1, 3).astype(np.int32)
+    pair = three[:, :, 0] << 16 | three[:, :, 1] << 8 | three[:, :, 2]
+    return (np.stack([pair >> 12, pair & 4095], axis=2).reshape(len(raw), -1) - 2048).astype(np.float32) * scale
 
 
 def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, vec, h): one row per id; vec is the vector at unit length, as dim 16-bit floats, h its 128-bit digest.
+    """(id, vec, h): one row per given row; vec is the vector at unit length (`_packed`), h its 128-bit digest.
 
     Null ids, and vectors that are null, of another length, zero, or hold a null or a number that is
-    not finite, are left out. Of an id given several times the largest vector counts.
+    not finite, are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,11 +194,11 @@ def unit_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
                 top = np.abs(x).max(axis=1) if len(x) else np.zeros(0)
                 ok = np.isfinite(x).all(axis=1) & (top > 0)
                 x = x[ok] / top[ok, None]
-                x = (x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "vec"])
+                x = x / np.sqrt((x * x).sum(axis=1))[:, None]
+            yield pa.RecordBatch.from_arrays([ids.filter(pa.array(ok)), pa.array(_packed(x) if len(x) else [], pa.binary())], names=["id", "vec"])
 
     rows = df.select(F.col(key).cast("string").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull())
-    return rows.mapInArrow(run, "id string, vec binary").groupBy("id").agg(F.max("vec").alias("vec")).withColumn("h", F.md5("vec"))
+    return rows.mapInArrow(run, "id string, vec binary").withColumn("h", F.unhex(F.md5("vec")))
 
 
 def _spread(forest: Forest, trees: range, ask: bool):
@@ -305,20 +322,24 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 def nearest(df: DataFrame, key: str, vector: str, dim: int, k: int = 5) -> DataFrame:
     """(id, rank, near_id, similarity): the k most similar other ids of every id with a valid vector.
 
-    Similarity is the cosine, to 16-bit precision of the components; ties go to the smaller id.
+    Similarity is the cosine, of components kept to 12 bits; ties go to the smaller id. Of an id given several
+    times the vector of the greatest digest counts.
     Fewer than k rows where the collection holds fewer other vectors; none for an empty table.
     Further columns are ignored.
     """
     rows = written(unit_vectors(df, key, vector, dim).withColumn("rid", F.monotonically_increasing_id()), "vectors")
-    # classes of equal vectors: m numbers the ids of a class, rep is the row that stands for it
+    # one row of each id, and classes of equal vectors: m numbers the ids of a class, rep is the row that stands for it.
+    # Neither shuffles a vector.
+    kept = rows.groupBy("id").agg(F.max(F.struct("h", "rid")).alias("k")).select("id", "k.h", "k.rid")
     same = Window.partitionBy("h").orderBy("id")
-    members = rows.select("rid", "id", "h").withColumn("m", F.row_number().over(same)).withColumn("rep", F.first("rid").over(same))
+    members = kept.withColumn("m", F.row_number().over(same)).withColumn("rep", F.first("rid").over(same))
     members = written(members.select("rid", "id", "m", "rep"), "members")
-    extra = members.where("m > 1").select("rid")
-    some = extra.count()
+    some = members.where("m > 1").limit(1).count()
+    beside = rows.select("rid").join(members.where("m = 1").select("rid"), "rid", "left_anti")
     points = rows.select("rid", "vec")
-    if some:
-        points = points.join(F.broadcast(extra) if some <= MAX_BROADCAST else extra, "rid", "left_anti")
+    if (over := rows.count() - members.where("m = 1").count()) > 0:
+        beside = written(beside, "beside")
+        points = points.join(F.broadcast(beside) if over <= MAX_BROADCAST else beside, "rid", "left_anti")
     total = points.count()
     sample = points.select("vec").sample(min(1.0, 1.2 * SAMPLE / max(1, total)), 3).limit(SAMPLE).collect()
     depth = _depth(total, LEAF)
