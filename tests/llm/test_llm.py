@@ -278,6 +278,9 @@ REFS = [("skill", 1, "python", False), ("skill", 2, "client/server design", Fals
         ("skill", "stre. processing", 3), ("skill", "processing of stream", 3), ("skill", "event pipelines", 3), ("skill", "C# knowhow", 5), ("skill", "falcon taming", 0), ("skill", "n/a", 0), ("skill", "java!", 4),
         ("title", "sr. data eng.", 1), ("title", "engineer, data", 1), ("title", "part time data enginer - san wenport", 1), ("title", "2 x Data Engineer (m/f/d)", 1), ("title", "royal jester", 0),
         ("city", "o s t g o t h a f i e l d", 1), ("city", "OSTGOTHAFEILD / hybrid", 1), ("city", "Metro San Wenport, Sarmonia", 2), ("city", "veliny city", 1), ("city", "remote", 0),
+        # qualifiers that stand in no list and beside no other name here
+        ("title", "experienced data engineer", 1), ("title", "Chief Data Engineer", 1), ("title", "Werkstudent Data Engineer", 1), ("title", "data engineer, night shift", 1), ("title", "Data Engineer - Urgent Backfill", 1),
+        ("skill", "5 yrs python", 1), ("skill", "python ninja", 1), ("skill", "pythn programming skills", 1),
     ],
 )
 def test_mapping(mapped, domain, typed, ref):
