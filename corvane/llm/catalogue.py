@@ -126,6 +126,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, ["table_name", "group_id"]).where("id_a < id_b").select("id_a", "id_b")
 
 
+_RUNS = "list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i + 12], ' '))"
+_LEAKS = f"""WITH docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL), items AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items WHERE text IS NOT NULL),
+drun AS (SELECT DISTINCT doc_id, unnest({_RUNS}) AS r FROM docs WHERE len(w) >= 13), irun AS (SELECT DISTINCT item_id, unnest({_RUNS}) AS r FROM items WHERE len(w) >= 13),
+leak AS (SELECT doc_id, item_id, count(*) AS runs FROM drun JOIN irun USING (r) GROUP BY ALL)"""
+#: Exact SQL where there is one: shared runs as an equality join, groups by brute force over shared sequences.
+SQL = {
+    "p6_found": f"{_LEAKS} SELECT doc_id, item_id FROM leak",
+    "p6_item_report": f"{_LEAKS} SELECT e.item_id, test_set, coalesce(documents, 0) AS documents, coalesce(most, 0) AS most_runs FROM eval_items e LEFT JOIN (SELECT item_id, count(*) AS documents, max(runs) AS most FROM leak GROUP BY ALL) l USING (item_id)",
+}
+
 #: Further modules of this subpackage with QUERIES and SQL.
 MODULES: list[str] = ["mapping_queries"]
 
@@ -138,7 +148,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out: dict[str, str] = dict(SQL)
     for m in MODULES:
         out |= getattr(import_module(f"corvane.llm.{m}"), "SQL", {})
     return out

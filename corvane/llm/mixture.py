@@ -81,17 +81,18 @@ def plan(targets: dict[str, tuple[float, int]], available: dict[str, int]) -> tu
 
 
 def _offsets(docs: DataFrame, buckets: int) -> tuple[DataFrame, dict[str, int]]:
-    """docs with `upto`, the tokens of its source up to and with it in hashed order; and the sources' tokens."""
+    """docs with `upto`, the tokens of its source up to and with it in hashed order; and the sources' tokens.
+
+    The totals of the buckets stay a table: their running sums are a window over one short row a bucket, joined
+    back by (source, bucket). Only one total a target source reaches the driver.
+    """
     keyed = docs.withColumn("h", F.xxhash64("doc_id", "line")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
-    sums = keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("s")).collect()
-    totals: dict[str, int] = {}
-    before = []
-    for r in sorted(sums, key=lambda r: (r.source, r.bucket)):
-        before.append((r.source, r.bucket, totals.get(r.source, 0)))
-        totals[r.source] = totals.get(r.source, 0) + r.s
-    base = docs.sparkSession.createDataFrame(before, "source string, bucket long, base long")
+    sums = written(keyed.groupBy("source", "bucket").agg(F.sum("tokens").alias("s")), "buckets")
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("source", "bucket", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    totals = {r.source: r.s for r in sums.groupBy("source").agg(F.sum("s").alias("s")).collect()}
     own = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "line").rowsBetween(Window.unboundedPreceding, 0)
-    out = keyed.withColumn("inside", F.sum("tokens").over(own)).join(F.broadcast(base), ["source", "bucket"])
+    out = keyed.withColumn("inside", F.sum("tokens").over(own)).join(base, ["source", "bucket"])
     return out.withColumn("upto", F.col("base") + F.col("inside")).drop("h", "bucket", "inside", "base"), totals
 
 
