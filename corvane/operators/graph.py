@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import arrays as A
 from corvane.functions import vocab as V
+from corvane.operators.components import components
 
 
 def stack_members(spark: SparkSession) -> DataFrame:
@@ -122,21 +123,5 @@ def degrees(edges: DataFrame, source: str = "source", target: str = "target") ->
 
 
 def labels(edges: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
-    """(node, component): the smallest name of each weakly connected component, by label propagation over written tables."""
-    from corvane.session import written
-
-    pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
-    both = written(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "pairs")
-    state = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c"))
-    mark = None
-    while True:
-        state = written(state, "labels")
-        now = state.agg(F.sum(F.xxhash64("a", "c").cast("decimal(38,0)"))).first()[0]
-        if now == mark:
-            return state.select(F.col("a").alias("node"), F.col("c").alias("component"))
-        mark = now
-        near = both.join(state.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("m"))
-        step = state.join(near, "a").select("a", F.least("c", "m").alias("c"))
-        # pointer jumping: a label takes its own label, so paths halve
-        jump = step.select(F.col("a").alias("c"), F.col("c").alias("cc"))
-        state = step.join(jump, "c", "left").select("a", F.least("c", F.coalesce("cc", "c")).alias("c"))
+    """(node, component): the smallest name of each weakly connected component. Null ends and loops are ignored."""
+    return components(edges.select(F.col(source).alias("a"), F.col(target).alias("b"))).select("node", F.col("root").alias("component"))

@@ -248,3 +248,9 @@ SQL = {
     "chunk_counts": f"{_ALL} SELECT source, chunk_type, count(*) AS chunks, round(avg({_WORDS}), 4) AS mean_words FROM chunks GROUP BY source, chunk_type",
     "chunk_repeats": f"{_ALL} SELECT chunk_id, count(*) AS rows FROM chunks GROUP BY chunk_id HAVING count(*) > 1",
 }
+_KINDS = "CASE " + " ".join("WHEN " + q_any("h", names) + f" THEN '{kind}'" for kind, names in V.SECTION_HEADERS.items()) + " END"
+_BARE_HEAD = "regexp_replace(line, '[#*_`>]', '', 'g')"
+_MDTEXT = "concat_ws(chr(10) || chr(10), " + ", ".join(f"CASE WHEN {c} <> '' THEN '## {h}' || chr(10) || {c} END" if k < 2 else f"CASE WHEN len({c}) > 0 THEN '## {h}' || chr(10) || {_JOINED.format(c=c)} END" for k, (h, c) in enumerate(_MD)) + ")"
+SQL["section_running"] = f"""WITH {Q_JD}, lines AS (SELECT jd_id, CAST(i - 1 AS INT) AS pos, line FROM (SELECT jd_id, unnest(xs) AS line, generate_subscripts(xs, 1) AS i FROM (SELECT jd_id, string_split({_MDTEXT}, chr(10)) AS xs FROM jd)) WHERE trim(line) <> ''),
+opened AS (SELECT *, {_KINDS} AS own FROM (SELECT *, lower({q_squash(_BARE_HEAD)}) AS h FROM lines)),
+ran AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY jd_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kind FROM opened) SELECT jd_id, pos, line, kind FROM ran WHERE own IS NULL AND kind IS NOT NULL"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from corvane.operators import reports as T
 from corvane.operators import retrieval as R
 from corvane.plans import prep_queries as P
 from corvane.plans import search_queries as S
-from corvane.session import written
+from corvane.session import shared_dir, written
+from corvane.sources import files
 from corvane.sources.tables import one_per_key, table
+from corvane.streaming import upsert
 
 #: Relations that count as skills of a document, by its label.
 RELATIONS = {"Candidate": ["HAS_SKILL", *V.CANDIDATE_REL.values()], "Demand": ["REQUIRES_SKILL", *V.DEMAND_REL.values()], "JobDescription": ["REQUIRES_SKILL", *V.DEMAND_REL.values()]}
@@ -128,7 +132,61 @@ def _headers(s: SparkSession, d: str) -> DataFrame:
     return lines.select("doc_id", "line_no", X.header(F.col("line")).alias("header"), X.section_type(F.col("line")).alias("kind")).where("kind IS NOT NULL")
 
 
+def _folder(s: SparkSession, name: str) -> str:
+    return f"{shared_dir(s)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def _csv(s: SparkSession, d: str) -> DataFrame:
+    """Profiles written as CSV and read again: quotes, separators and line breaks in fields survive."""
+    columns, at = ["id", "core_skills", "potential_roles", "years_of_experience"], _folder(s, "csv")
+    files.write_csv(one_per_key(table(s, d, "profiles"), "id", *columns[1:]), at)
+    return files.read_csv(s, at, columns)
+
+
+def _keyed(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries upserted in two batches, the later one first: the latest of each key is held."""
+    t, at = table(s, d, "demands").select("id", "experience_lower", "experience_upper", "loaded_at"), _folder(s, "keyed")
+    half = t.agg(F.expr("to_timestamp(avg(unix_timestamp(loaded_at)))").alias("m")).first().m
+    files.keyed_overwrite(t.where(F.col("loaded_at") >= F.lit(half)), at, "id", "loaded_at")
+    files.keyed_overwrite(t.where((F.col("loaded_at") < F.lit(half)) | F.col("loaded_at").isNull()), at, "id", "loaded_at")
+    return files.read_keyed(s, at).select("id", "experience_lower", "experience_upper", F.unix_micros("loaded_at").alias("loaded"))
+
+
+def _chunk_table(s: SparkSession, d: str) -> DataFrame:
+    at = _folder(s, "chunks")
+    files.write_chunks(O.checked(P.chunks(s, d)), at)
+    return s.read.parquet(at).select("chunk_id", "source", "chunk_type", "metadata")
+
+
+def _vector_table(s: SparkSession, d: str) -> DataFrame:
+    at = _folder(s, "vectors")
+    files.write_vectors(table(s, d, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding", "label"), at, dim=len(table(s, d, "embeddings").select("embedding").first()[0]))
+    return s.read.parquet(at).select("chunk_id", "label", F.size("embedding").alias("size"))
+
+
+def _traces(s: SparkSession, d: str) -> DataFrame:
+    at = _folder(s, "traces")
+    files.write_traces(U.benchmark(s).select("query_id", "query", "entities"), at)
+    return s.read.schema("query_id string, query string, entities array<string>").json(at).select("query_id", "query", F.array_join("entities", "|").alias("entities"))
+
+
+def _streamed(s: SparkSession, d: str) -> DataFrame:
+    """Deliveries of postings as a file stream of upserts; what readers hold at its end."""
+    source, target = _folder(s, "stream"), _folder(s, "target")
+    t = table(s, d, "demands").select(F.col("id").alias("chunk_id"), "experience_lower", "experience_upper", "loaded_at").where("id IS NOT NULL")
+    t.write.parquet(source)
+    upsert.upsert_chunks(s, source, t.schema, target, target + "-state").awaitTermination()
+    return upsert.current(s, target).select("chunk_id", "experience_lower", "experience_upper", F.unix_micros("loaded_at").alias("loaded"))
+
+
 QUERIES = {
+    "csv_roundtrip": _csv,
+    "keyed_upsert": _keyed,
+    "chunk_table": _chunk_table,
+    "vector_table": _vector_table,
+    "trace_table": _traces,
+    "streamed_upserts": _streamed,
+    "window_counts": lambda s, d: upsert.windowed_counts(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type").select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "events"),
     "field_values": _field_values,
     "list_fields": _list_fields,
     "header_lines": _headers,
@@ -257,6 +315,16 @@ SELECT query_id, count(*) FILTER (bad = 0) AS good, count(*) FILTER (bad = 1) AS
     "pipeline_run": f"{_PIPE} SELECT query_id, chunk_id, graph_rank AS final_rank, final_score AS combined_score, {S._LABEL} AS quality_label FROM ranked WHERE graph_rank <= {V.FINAL}",
     "classic_search": f"{S._RANKED} SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fused_rank) AS INT) AS rank FROM (SELECT *, round({V.RRF_WEIGHT} * least(rrf_score / (2.0 / {V.RRF_K + 1}), 1.0) + {V.GRAPH_WEIGHT} * graph_text_score, 6) AS score FROM ranked) QUALIFY rank <= {V.FINAL}",
 }
+_NOTHING = lambda c: f"CASE WHEN {c} IN ({', '.join(map(S._v, files.MISSING))}) THEN NULL ELSE {c} END AS {c}"
+SQL |= {
+    "csv_roundtrip": f"SELECT id, {_NOTHING('core_skills')}, {_NOTHING('potential_roles')}, {_NOTHING('years_of_experience')} FROM {P.q_keys('profiles', 'id', 'core_skills', 'potential_roles', 'years_of_experience')}",
+    "keyed_upsert": "SELECT id, experience_lower, experience_upper, epoch_us(loaded_at) AS loaded FROM demands WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1",
+    "chunk_table": f"{P._ALL} SELECT chunk_id, source, chunk_type, metadata FROM chunks",
+    "vector_table": "SELECT CAST(vec_id AS VARCHAR) AS chunk_id, label, CAST(len(embedding) AS INT) AS size FROM embeddings",
+    "trace_table": f"WITH {S.Q_BENCH} SELECT query_id, query, array_to_string(entities, '|') AS entities FROM bench",
+    "streamed_upserts": "SELECT id AS chunk_id, experience_lower, experience_upper, epoch_us(loaded_at) AS loaded FROM demands WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1",
+    "window_counts": "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events FROM events GROUP BY ALL",
+}
 for _n, _from, _pre in (("chunk_violations", "chunks", f"{P._ALL} "), ("corpus_violations", "corpus", f"WITH {S.Q_CORPUS} ")):
     SQL[_n] = _pre + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", ({q}) AS rows" for n, q in (
         ("rows", f"SELECT count(*) FROM {_from}"), ("no id", f"SELECT count(*) FROM {_from} WHERE chunk_id IS NULL OR trim(chunk_id) = ''"), ("null text", f"SELECT count(*) FROM {_from} WHERE text IS NULL"),

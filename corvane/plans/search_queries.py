@@ -381,3 +381,10 @@ SQL = {
     "value_counts": "SELECT doc_kind AS value, count(*) AS rows FROM documents GROUP BY doc_kind",
     "top_skills": f"SELECT value, count(*) AS rows FROM (SELECT {P.q_squash('v')} AS value FROM (SELECT unnest(string_split(coalesce(primary_skills, ''), ',')) AS v FROM demands UNION ALL SELECT unnest(string_split(coalesce(secondary_skills, ''), ',')) FROM demands)) WHERE value <> '' GROUP BY value ORDER BY rows DESC, value LIMIT 30",
 }
+# label propagation, unrolled: more rounds than the graph of documents, skills, roles and places is wide
+_ROUNDS = 14
+SQL["components"] = (
+    f"{_EDGES}, pair AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT src_label || ':' || src AS a, dst_label || ':' || dst AS b FROM gedge UNION ALL SELECT dst_label || ':' || dst, src_label || ':' || src FROM gedge)), l0 AS MATERIALIZED (SELECT a AS node, least(a, min(b)) AS c FROM pair GROUP BY a)"
+    + "".join(f", l{i} AS MATERIALIZED (SELECT x.node, least(x.c, min(y.c)) AS c FROM l{i - 1} x JOIN pair p ON x.node = p.a JOIN l{i - 1} y ON y.node = p.b GROUP BY x.node, x.c)" for i in range(1, _ROUNDS))
+    + f" SELECT node, c AS component FROM l{_ROUNDS - 1}"
+)

@@ -29,7 +29,8 @@ def local_session(app: str = "corvane", cores: str = "8", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir if the cluster names one.
 
-    Only where that setting is absent (one-machine tests) a temporary folder is made and removed at exit.
+    Only where that setting is absent on a local master (one-machine tests) a temporary folder is made and removed
+    at exit; a cluster without it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
@@ -40,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="corvane-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     sc.setCheckpointDir("file://" + made)

@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from corvane.functions import text as X
-
-
 def newest(df: DataFrame, key: str, order: str) -> DataFrame:
     """One row per key: the one with the largest order column (nulls lose; equal rows: one of them)."""
     w = Window.partitionBy(key).orderBy(F.col(order).desc_nulls_last(), F.xxhash64(*df.columns))
@@ -41,9 +38,3 @@ def current(spark: SparkSession, target: str, key: str = "chunk_id", order: str
 def windowed_counts(events: DataFrame, time: str, kind: str, width: str = "10 minutes", late: str = "30 minutes") -> DataFrame:
     """Events per tumbling window and kind; on a stream, rows later than `late` are dropped by the watermark."""
     return events.withWatermark(time, late).groupBy(F.window(time, width), kind).agg(F.count(F.lit(1)).alias("events"))
-
-
-def posting_counts(chunks: DataFrame) -> DataFrame:
-    """(term, chunks, uses) of a batch of chunks: what an index refresh adds."""
-    t = chunks.select("chunk_id", F.explode(X.tokens(F.col("text"))).alias("term")).groupBy("chunk_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return t.groupBy("term").agg(F.count(F.lit(1)).alias("chunks"), F.sum("tf").alias("uses"))

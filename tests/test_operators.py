@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators import evaluation as E
@@ -120,14 +121,22 @@ def test_csv_round_trip_and_upsert(spark, tmp_path):
     row = lambda *r: spark.createDataFrame(list(r), "k string, v int, at int")
     assert files.keyed_overwrite(row(("a", 1, 1), ("b", 1, 1), (None, 1, 1)), t, "k", "at") == (3, 2)
     files.keyed_overwrite(row(("a", 2, 2), ("b", 0, 0)), t, "k", "at")
-    assert {r.k: r.v for r in spark.read.parquet(t).collect()} == {"a": 2, "b": 1}
+    assert {r.k: r.v for r in files.read_keyed(spark, t).collect()} == {"a": 2, "b": 1}
+    (tmp_path / "t" / "v=000000000003").mkdir()  # a write that did not end counts for nothing
+    assert files.read_keyed(spark, t).count() == 2
+    assert files.keyed_overwrite(row(("c", 1, 1)), t, "k", "at") == (1, 3)
+    assert files.keyed_overwrite(row(("d", 1, 1)), t, "k", "at") == (1, 4) and files.read_keyed(spark, t).count() == 4
+    with pytest.raises(ValueError):
+        files.read_keyed(spark, str(tmp_path / "none"))
+    files.write_csv(spark.createDataFrame([("1", "  a, b "), ("2", 'c "d"\ne')], "id string, v string"), str(tmp_path / "c"))
+    assert {r.id: r.v for r in files.read_csv(spark, str(tmp_path / "c"), ["id", "v"]).collect()} == {"1": "  a, b ", "2": 'c "d"\ne'}
 
 
 def test_markdown_tree(spark, tmp_path):
     for n in (10, 2):
         (tmp_path / str(n)).mkdir()
         (tmp_path / str(n) / "d.md").write_text(f"## T\n{n}")
-    assert [(r.doc_id, r.text) for r in files.read_markdown(spark, f"{tmp_path}/*/d.md").collect()] == [(2, "## T\n2"), (10, "## T\n10")]
+    assert [(r.doc_id, r.text) for r in files.read_markdown(spark, f"{tmp_path}/*/d.md").orderBy("doc_id").collect()] == [(2, "## T\n2"), (10, "## T\n10")]
 
 
 def test_stream_upsert(spark, tmp_path):
@@ -136,3 +145,94 @@ def test_stream_upsert(spark, tmp_path):
     df.write.parquet(src)
     upsert.upsert_chunks(spark, src, df.schema, out, str(tmp_path / "cp")).awaitTermination()
     assert {r.chunk_id: r.text for r in upsert.current(spark, out).collect()} == {"a": "sql", "b": "java java"}
+
+
+def test_the_latest_delivery_counts_as_a_whole(spark):
+    from corvane.sources.tables import one_per_key
+
+    rows = [("a", "9", "x", 1), ("a", "10", None, 2), ("b", "1", "y", None), ("b", "0", "z", 1), (None, "5", "q", 9)]
+    df = spark.createDataFrame(rows, "id string, n string, t string, loaded_at int")
+    assert {r.id: (r.n, r.t) for r in one_per_key(df, "id", "n", "t").collect()} == {"a": ("10", None), "b": ("0", "z")}
+
+
+def test_only_whole_texts_are_json(spark):
+    texts = ['["a"]', "{}", "2", "2 x developer", "[1] tail", '{"a": 1} {"b": 2}', "1, 2", "1], [2", '"x"', "null", " ", None, "{'a': 1", '{"a": }']
+    df = spark.createDataFrame([(t,) for t in texts], "v string")
+    assert tuple(Q.json_validity(df, ["v"]).first()) == ("v", 12, 5)
+
+
+def test_checked_sources(spark, tmp_path):
+    import json
+
+    (tmp_path / "k.csv").write_text("id,v\na,1\n ,2\nb,3\n")
+    assert files.read_keyed_csv(spark, str(tmp_path / "k.csv"), ["id", "v"], "id").count() == 2
+    (tmp_path / "k2.csv").write_text("id,v\na,1\na,2\n")
+    with pytest.raises(ValueError, match="repeated id: a"):
+        files.read_keyed_csv(spark, str(tmp_path / "k2.csv"), ["id", "v"], "id")
+    good = [{"query": "java", "intent": "job_search", "expected_keywords": ["a", "b"]}]
+    for name, content, words, wrong in (("a", good, 2, None), ("b", good, 5, "number of keywords"), ("c", [{"query": " ", "intent": "x"}], None, "blank query, unknown intent")):
+        (tmp_path / name).write_text(json.dumps(content))
+        if wrong is None:
+            assert files.read_benchmark(spark, str(tmp_path / name), ["job_search"], words).count() == 1
+        else:
+            with pytest.raises(ValueError, match=wrong):
+                files.read_benchmark(spark, str(tmp_path / name), ["job_search"], words)
+    v = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, float("nan")])], "chunk_id string, embedding array<double>")
+    assert files.write_vectors(v.where("chunk_id = 'a'"), str(tmp_path / "v"), dim=2) == 1
+    for bad in (v, v.where("chunk_id = 'x'")):
+        with pytest.raises(ValueError):
+            files.write_vectors(bad, str(tmp_path / "w"), dim=2)
+    assert files.create_if_missing(spark, {"one": "a int", "two": "b string"}, str(tmp_path)) == ["one", "two"]
+    assert files.create_if_missing(spark, {"one": "a int"}, str(tmp_path)) == []
+    with pytest.raises(ValueError):
+        files.require_unique(spark.createDataFrame([("a", 1), ("a", 1)], "n string, l int"), "n", "l")
+
+
+def test_chunks_are_checked_before_use(spark):
+    from corvane.operators import preparation as O
+
+    df = spark.createDataFrame([("a", "x"), ("a", " "), (None, None)], "chunk_id string, text string")
+    assert {r.check: r.rows for r in O.violations(df).collect()} == {"rows": 3, "no id": 1, "null text": 1, "blank text": 1, "repeated id": 1}
+    for bad in (df, df.where("chunk_id = 'z'"), df.drop("text")):
+        with pytest.raises(ValueError):
+            O.checked(bad)
+    assert O.checked(df.limit(1)).count() == 1
+    got = O.dense_ids(spark.createDataFrame([(f"k{i:03d}", i) for i in range(500)], "chunk_id string, dense int"), "chunk_id").collect()
+    assert sorted((r.dense_id, r.chunk_id) for r in got) == [(i, f"k{i:03d}") for i in range(500)]
+    assert O.dense_ids(df.where(F.lit(False)), "chunk_id").count() == 0
+
+
+def test_descriptions_are_assembled_with_and_without_markdown(spark):
+    from corvane.operators import preparation as O
+
+    rows = [("m", "intro\n## Skill Requirements\n- Strong communication\n- Kubernetes and Jenkins\n- kubernetes and jenkins\n## Other Requirements\n- Bachelor's degree in Computer Science"), ("p", "Skill Requirements\n- 5+ years of Java\n\nResponsibilities\n- Lead audits"), ("n", None), ("e", " ")]
+    got = {(r.id, r.bucket): r["items"] for r in O.assembled(spark.createDataFrame(rows, "id string, t string"), "id", "t").collect()}
+    assert got["m", "tools"] == ["Kubernetes and Jenkins"] and got["m", "soft_skills"] == ["Strong communication"] and got["m", "education"] == ["Bachelor's degree in Computer Science"]
+    assert got["p", "experience"] == ["5+ years of Java"] and got["p", "responsibilities"] == ["Lead audits"] and {k for k, _ in got} == {"m", "p"}
+
+
+def test_a_failing_method_does_not_end_the_evaluation(spark):
+    from corvane.operators import reports as T
+
+    b = spark.createDataFrame([("q1", ["java", "sql"])], "query_id string, keywords array<string>")
+    text = spark.createDataFrame([("c1", "Java"), ("c2", "sql java")], "chunk_id string, text string")
+    one = spark.createDataFrame([("q1", "c1", 1, 0.5), ("q1", "c2", 2, 0.25)], "query_id string, chunk_id string, rank int, score double")
+
+    def broken():
+        raise OSError("no index")
+
+    runs, notes = T.timed_runs({"a": lambda: one, "b": broken}, b, text)
+    got = {r.method: r for r in runs.collect()}
+    assert (got["a"].top1_matches, got["a"].top5_coverage, got["a"].mean_score) == (1, 2, 0.375) and got["b"].results == 0 and got["b"].mean_score is None
+    assert notes["b"][1] == "no index" and notes["a"][1] is None and notes["a"][0] > 0
+    assert "| a | 2 |" in T.markdown({"Runs": runs.select("method", "results")}) and "More than 1 rows" in T.markdown({"Runs": runs}, 1)
+
+
+def test_graph_upserts_keep_first_source_and_last_confidence(spark):
+    from corvane.operators import reports as T
+
+    e = spark.createDataFrame([("Candidate", "1", "HAS_SKILL", "Skill", "x", 0.5, "profiles", 0), ("Candidate", "1", "HAS_SKILL", "Skill", "x", 0.9, "ontology", 3), ("Demand", "2", "R", "Skill", " ", 0.9, "demands", 1)], "src_label string, src string, relation string, dst_label string, dst string, confidence double, origin string, turn int")
+    nodes = T.merged_nodes(e)
+    assert {(r.label, r.name): r.source for r in nodes.collect()} == {("Candidate", "1"): "profiles", ("Skill", "x"): "profiles", ("Demand", "2"): "demands"}
+    assert [(r.src, r.dst, r.confidence) for r in T.merged_edges(e, nodes).collect()] == [("1", "x", 0.9)]
+    assert T.existing(spark.createDataFrame([("x",), ("y",)], "name string"), nodes, "Skill").count() == 1
