@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from corvane.functions import arrays as A
 from corvane.functions import vocab as V
+from corvane.session import local_table
 from corvane.operators.components import components
 
 
 def stack_members(spark: SparkSession) -> DataFrame:
     """(stack_no, stack, type, name) of the technology stacks."""
     rows = [(i, s, V.PARTS[part], n) for i, (s, parts) in enumerate(V.STACKS.items()) for part, names in parts.items() for n in ([names] if isinstance(names, str) else names)]
-    return spark.createDataFrame(rows, "stack_no int, stack string, type string, name string")
+    return local_table(spark, rows, "stack_no int, stack string, type string, name string")
 
 
 def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(V.RULES, "source_type string, target_type string, relation string, confidence double")
+    return local_table(spark, V.RULES, "source_type string, target_type string, relation string, confidence double")
 
 
 def ontology_edges(spark: SparkSession) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as X
 from corvane.functions import vocab as V
+from corvane.session import local_table
 
 
 def benchmark(spark: SparkSession) -> DataFrame:
     """(query_id, query, intent, source, entities, keywords): seeds times modifiers, the first BENCHMARK_SIZE."""
-    seeds = spark.createDataFrame([(i, a, b, c) for i, (a, b, c) in enumerate(V.BENCHMARK_SEEDS)], "s int, intent string, seed string, ents array<string>")
-    mods = spark.createDataFrame(list(enumerate(V.BENCHMARK_MODIFIERS)), "m int, modifier string")
+    seeds = local_table(spark, [(i, a, b, c) for i, (a, b, c) in enumerate(V.BENCHMARK_SEEDS)], "s int, intent string, seed string, ents array<string>")
+    mods = local_table(spark, list(enumerate(V.BENCHMARK_MODIFIERS)), "m int, modifier string")
     n = F.col("s") * len(V.BENCHMARK_MODIFIERS) + F.col("m") + 1
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
     source = F.create_map(*[F.lit(x) for kv in V.INTENT_SOURCE.items() for x in kv])

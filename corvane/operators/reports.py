@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corvane.functions import arrays as A
 from corvane.functions import vocab as V
 from corvane.functions.arrays import entity_class
+from corvane.session import local_table
 
 # ---- graph -------------------------------------------------------------------------------------
 
@@ -90,7 +91,7 @@ def relation_lists(edges: DataFrame, relations: dict[str, list[str]]) -> DataFra
 
 def counted(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
     """(value, rows) for every known value, 0 where there is none, and for the values that are not known."""
-    fixed = rows.sparkSession.createDataFrame([(v,) for v in known], "value string")
+    fixed = local_table(rows.sparkSession, [(v,) for v in known], "value string")
     got = rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
     return fixed.join(got, "value", "full").select("value", F.coalesce("rows", F.lit(0)).alias("rows"))
 

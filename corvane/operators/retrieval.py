@@ -32,8 +32,8 @@ def index(chunks: DataFrame, text: str = "text") -> Index:
 
 
 def write_postings(postings: DataFrame) -> DataFrame:
-    """Postings in the shared folder, clustered by source and term, so a search skips the row groups it does not need."""
-    return written(postings.repartitionByRange("source", "term").sortWithinPartitions("source", "term"), "postings")
+    """Postings in the shared folder, each file sorted by source and term, so a search skips the row groups it does not need."""
+    return written(postings.sortWithinPartitions("source", "term"), "postings")
 
 
 def write_index(ix: Index) -> Index:
@@ -42,12 +42,22 @@ def write_index(ix: Index) -> Index:
     return Index(postings, written(postings.groupBy("source", "term").agg(F.count(F.lit(1)).alias("df")), "frequencies"), written(ix.collection, "collection"))
 
 
-def sets(ix: Index, skills: DataFrame | None = None) -> DataFrame:
-    """(chunk_id, source, term, nd): the different tokens of every chunk, those of skills (chunk_id, source, text) among them, and their number."""
-    docs = ix.postings.select("chunk_id", "source", "term")
-    if skills is not None:
-        docs = docs.unionByName(skills.select("chunk_id", "source", F.explode(X.tokens(F.col("text"))).alias("term"))).distinct()
-    return docs.withColumn("nd", F.count(F.lit(1)).over(Window.partitionBy("chunk_id")))
+def sets(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, source, term, nd): the different tokens of the text and the skills of every chunk, and their number; no shuffle.
+
+    chunks: chunk_id, source, text, skills (a text; may be null).
+    """
+    both = F.array_distinct(F.concat(X.tokens(F.col("text")), X.tokens(F.col("skills"))))
+    return chunks.select("chunk_id", "source", both.alias("terms")).select("chunk_id", "source", F.explode("terms").alias("term"), F.size("terms").cast("long").alias("nd"))
+
+
+#: Terms of a query batch that are sent to every task; the terms of a larger batch are joined by a shuffle.
+MAX_TERMS = 100_000
+
+
+def _checked(terms: DataFrame) -> DataFrame:
+    """The terms marked for broadcast if they are counted to be few."""
+    return F.broadcast(terms) if terms.limit(MAX_TERMS + 1).count() <= MAX_TERMS else terms
 
 
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
@@ -64,11 +74,12 @@ def top(scored: DataFrame, score: str, k: int, key: str = "chunk_id", per: str =
 def bm25_scores(ix: Index, queries: DataFrame, k1: float = V.BM25_K1, b: float = V.BM25_B) -> DataFrame:
     """(query_id, chunk_id, score), score rounded to 6 places before it is ranked."""
     terms = query_terms(queries)
+    few = _checked(terms)
     # terms (small) meet frequencies first, so postings are read through one join
-    weighted = terms.join(ix.frequencies, ["source", "term"]).join(ix.collection, "source")
+    weighted = ix.frequencies.join(few, ["source", "term"]).join(ix.collection, "source")
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select("query_id", "source", "term", (idf * F.col("qtf")).alias("w"), F.greatest("avgdl", F.lit(1.0)).alias("avgdl"))
-    hits = ix.postings.join(weighted, ["source", "term"])
+    hits = ix.postings.join(weighted if few is terms else F.broadcast(weighted), ["source", "term"])  # a row of terms is a row here at most
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
 
@@ -88,10 +99,10 @@ def bm25_fields(fields: dict[str, tuple[Index, float]], queries: DataFrame, k: i
 
 def set_cosine(docs: DataFrame, queries: DataFrame, k: int = V.DEPTH) -> DataFrame:
     """Shared different tokens over the root of the product of both counts; docs as made by `sets`."""
-    terms = query_terms(queries).drop("qtf")
-    nq = terms.groupBy("query_id").agg(F.count(F.lit(1)).alias("nq"))
-    both = docs.join(terms, ["source", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("c"), F.first("nd").alias("nd"))
-    return top(both.join(nq, "query_id").select("query_id", "chunk_id", F.round(F.col("c") / F.sqrt(F.col("nq") * F.col("nd")), 6).alias("score")), "score", k)
+    own = F.array_distinct(X.tokens(F.col("query")))
+    terms = queries.select("query_id", "source", own.alias("own")).select("query_id", "source", F.explode("own").alias("term"), F.size("own").cast("long").alias("nq"))
+    both = docs.join(_checked(terms), ["source", "term"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("c"), F.first("nd").alias("nd"), F.first("nq").alias("nq"))
+    return top(both.select("query_id", "chunk_id", F.round(F.col("c") / F.sqrt(F.col("nq") * F.col("nd")), 6).alias("score")), "score", k)
 
 
 def unit(v):

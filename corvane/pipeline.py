@@ -38,7 +38,7 @@ def run(queries: DataFrame, chunks: DataFrame, index: R.Index | None = None, k:
     searched = U.expanded_text(read.select("query_id", "query", "source"), expansion).select("query_id", F.col("expanded_query").alias("query"), "source")
     index = index or R.index(chunks)
     if sets is None:
-        sets = R.sets(index, chunks.select("chunk_id", "source", F.col("skills").alias("text")))
+        sets = R.sets(chunks)
     fused = R.fuse({"bm25": R.bm25(index, searched), "semantic": R.set_cosine(sets, searched)})
     rows = fused.join(chunks.select("chunk_id", "source", "text"), "chunk_id").join(read.select("query_id", "query"), "query_id")
     own = chunks.select("chunk_id", A.split_keep(F.col("skills")).alias("skills"))

@@ -159,7 +159,7 @@ def prepared(s: SparkSession, d: str) -> Prepared:
     if key not in _HELD:
         c = written(corpus(s, d), "corpus")
         index = R.write_index(R.index(c))
-        _HELD[key] = Prepared(c, index, R.write_index(R.index(c, "title")), R.write_postings(R.sets(index, c.select("chunk_id", "source", F.col("skills").alias("text")))))
+        _HELD[key] = Prepared(c, index, R.write_index(R.index(c, "title")), R.write_postings(R.sets(c)))
     return _HELD[key]
 
 
@@ -177,17 +177,21 @@ def fused(s: SparkSession, d: str) -> DataFrame:
 
 
 def _reading(s):
-    read = U.understand(U.benchmark(s))
-    seeds = U.seeds(read)
-    return read, seeds, G.expand(seeds, G.ontology_edges(s))
+    """The benchmark's queries read, their seeds and expansions, each written because several steps use them."""
+    read = written(U.understand(U.benchmark(s)), "read")
+    seeds = written(U.seeds(read), "seeds")
+    return read, seeds, written(G.expand(seeds, G.ontology_edges(s)), "expansion")
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
     """The whole pipeline up to graph-aware ranking: both legs, fusion, evidence, combined score."""
     read, seeds, expansion = _reading(s)
     docs = prepared(s, d).corpus
-    rows = fused(s, d).join(docs.select("chunk_id", "text", A.split_keep(F.col("skills")).alias("skills")), "chunk_id").drop("skills").join(read.select("query_id", "query"), "query_id")
-    return K.combine(K.evidence(rows, docs.select("chunk_id", A.split_keep(F.col("skills")).alias("skills")), seeds, expansion))
+    # the top k are written before texts and skills join them: the smaller side of those joins is then known
+    top = written(fused(s, d), "fused")
+    rows = top.join(docs.select("chunk_id", "text"), "chunk_id").join(read.select("query_id", "query"), "query_id")
+    own = top.select("chunk_id").distinct().join(docs.select("chunk_id", "skills"), "chunk_id").select("chunk_id", A.split_keep(F.col("skills")).alias("skills"))
+    return K.combine(K.evidence(rows, own, seeds, expansion))
 
 
 def stages(s: SparkSession, d: str) -> DataFrame:
@@ -213,7 +217,7 @@ def _embeddings(s, d) -> DataFrame:
 
 def _explained(s, d) -> DataFrame:
     _, _, expansion = _reading(s)
-    x = K.explain(K.rerank(ranked(s, d)), expansion)
+    x = K.explain(written(K.rerank(ranked(s, d)), "reranked"), expansion)
     return x.select("query_id", "chunk_id", "final_rank", "combined_score", "explanation.quality_label", "explanation.summary", F.size("explanation.paths").alias("paths"))
 
 

@@ -26,6 +26,20 @@ def local_session(app: str = "corvane", cores: str = "8", partitions: int = 8) -
     )
 
 
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small fixed table whose size the optimizer knows, so that it is folded into plans and broadcast.
+
+    Rows given to createDataFrame as they are become an RDD of unknown size, which is shuffled.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    columns = [pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir if the cluster names one.
 
