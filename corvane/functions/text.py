@@ -147,5 +147,6 @@ def parent_id(chunk_id: Column) -> Column:
 def hashed(text: Column, width: int = 64) -> Column:
     """A text as a unit vector of `width` numbers without a model: its tokens counted by digest. Texts without tokens give zeros."""
     slots = F.transform(tokens(text), lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % width).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    return F.transform(F.array(counts), lambda c: F.transform(c, lambda v: v / F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, w: a + w * w)), F.lit(1e-12))))[0]
+    bound = lambda x, f: F.transform(F.array(x), f)[0]  # noqa: E731 - evaluates x once, not in every use of it
+    counts = bound(slots, lambda xs: F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.size(F.filter(xs, lambda s: s == i)).cast("double")))
+    return bound(counts, lambda c: bound(F.greatest(F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, w: a + w * w)), F.lit(1e-12)), lambda n: F.transform(c, lambda v: v / n)))

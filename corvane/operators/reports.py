@@ -213,6 +213,29 @@ def ranking_summary(moves: DataFrame) -> DataFrame:
     return moves.agg(mean(F.greatest(d, F.lit(0))).alias("mean_gain"), mean(F.least(d, F.lit(0))).alias("mean_loss"), F.count_if(rise > 0).alias("improved"), F.count_if(rise < 0).alias("worse"), F.count_if((rise < 0) & (F.col("relevant") == 1)).alias("reduced"))
 
 
+def acceptance_all(base: DataFrame, summary: DataFrame, reranked: DataFrame, issues: DataFrame) -> DataFrame:
+    """(criterion, passed): base, with whether the reranker helps, explanations name their relations, and no stage degrades.
+
+    summary: precision by stage; reranked: one row of `ranking_summary`; issues: rows of explanation issues.
+    The last row says whether the system is ready: five or more of the first seven criteria hold.
+    """
+    p = summary.agg(*[F.coalesce(F.max(F.when(F.col("stage") == s, F.col("precision"))), F.lit(0.0)).alias(s) for s in ("rrf", "graph")])
+    one = p.join(reranked.select("improved", "worse")).join(issues.agg(F.count_if(F.col("issue").startswith("Generic")).alias("generic")))  # one row each
+    checks = {"reranker improves the ranking": (F.col("improved") >= F.col("worse")) | (F.col("improved") == 0), "explanations name their relations": F.col("generic") == 0, "no stage degrades retrieval": F.col("graph") >= 0.95 * F.col("rrf")}
+    more = one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("criterion"), v.alias("passed")) for k, v in checks.items()])).alias("x")).select("x.*")
+    every = base.unionByName(more)
+    counted = every.where(~F.col("criterion").isin("explanations name their relations", "no stage degrades retrieval"))
+    return every.unionByName(counted.agg((F.count_if("passed") >= 5).alias("passed")).select(F.lit("ready").alias("criterion"), "passed"))
+
+
+def further_errors(expansion_scores: DataFrame, reranked: DataFrame, k: int = V.FINAL, most: float = 0.70) -> DataFrame:
+    """(query_id, category): queries whose expansions are noise for the most part, and those whose precision at k the reranker lowers."""
+    noise = expansion_scores.where(F.col("noise_ratio") > most).select("query_id", F.lit("Incorrect graph expansion").alias("category"))
+    at = lambda c: F.sum(F.when(F.col(c) <= k, F.col("relevant")).otherwise(0))
+    lower = reranked.groupBy("query_id").agg(at("old").alias("a"), at("new").alias("b")).where("b < a")
+    return noise.unionByName(lower.select("query_id", F.lit("Cross encoder mistake").alias("category")))
+
+
 def reducing_edges(moves: DataFrame, expansion: DataFrame, k: int = 20) -> DataFrame:
     """(edge, results): the edges on paths to entities that stand in relevant results which fell, the k most frequent (ties by name).
 

