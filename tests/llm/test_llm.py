@@ -134,6 +134,43 @@ def test_many_lone_records_of_one_partition_are_all_scanned(spark, monkeypatch):
     assert {frozenset(g) for g in groups.values()} == brute_groups(texts, 3, 0.5, 25)[0]
 
 
+def test_one_short_record_makes_no_long_ones_scanned(spark, monkeypatch):
+    def scanned(*a):
+        raise AssertionError("records were compared with all others")
+
+    monkeypatch.setattr(neardup, "_scan", scanned)
+    rng = random.Random(3)
+    texts = {f"r{i:03d}": " ".join(f"v{rng.randrange(3000)}" for _ in range(rng.randint(120, 161))) for i in range(60)}
+    texts |= {f"s{i:03d}": edited(rng, texts[f"r{i:03d}"].split()) for i in range(20)}
+    texts |= {"t0": " ".join(f"u{i}" for i in range(81)), "t1": " ".join(f"u{i}" for i in range(155))}  # linked across the bands
+    groups = defaultdict(set)
+    for r in neardup.near_duplicates(spark.createDataFrame(list(texts.items()), "id string, t string"), "id", "t", 3, 0.5, 25).collect():
+        groups[r.group_id].add(r.id)
+    assert {frozenset(g) for g in groups.values()} == brute_groups(texts, 3, 0.5, 25)[0]
+    assert {"t0", "t1"} in groups.values()
+
+
+def test_few_pairs_of_one_vocabulary_are_compared(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(6)
+    names = [f"a{rng.randrange(60)} b{i}" for i in range(260)]
+    texts = ["job posting for " + " ".join(rng.sample(names, 22)) for _ in range(3000)]
+    texts += [edited(rng, t.split()) for t in texts[:100]]
+    _, n, tok = neardup._Shingler(3, 25, 0)(texts)
+    order, compared, found = neardup._Order(np.repeat(np.arange(len(n)), n), tok), [], set()
+    real = neardup._passes
+    monkeypatch.setattr(neardup, "_passes", lambda xa, *a: compared.append(len(xa)) or real(xa, *a))
+    ends = np.cumsum(n)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n, pa.int32()), pa.array([neardup._pack40(tok[e - k : e]) for k, e in zip(n, ends)], pa.binary())], names=["rid", "n", "toks"])
+    for out in neardup._sign(order, 3, set(neardup._band(n).tolist()), {}, 1 / 3, 0.5)(iter([batch])):
+        for b in neardup._meet(1 / 3, 0.5)(iter([out])):
+            found |= set(zip(b["a"].to_pylist(), b["b"].to_pylist()))
+    sets = [set(tok[e - k : e].tolist()) for k, e in zip(n, ends)]
+    assert all((i, 3000 + i) in found for i in range(100) if 2 * len(sets[i] & sets[3000 + i]) >= len(sets[i] | sets[3000 + i]))
+    assert sum(compared) < 0.02 * len(n) ** 2 / 2
+
+
 def test_many_copies_are_one_group(spark):
     text = " ".join(f"w{i}" for i in range(40))
     df = spark.range(3000).select(F.format_string("c%05d", "id").alias("id"), F.lit(text).alias("t"))
